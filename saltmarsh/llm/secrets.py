@@ -1,7 +1,7 @@
 """Secret scans: two character Markov models, of random strings and of ordinary identifiers, compared by log-likelihood ratio.
 
 Both models are trained from weakly labelled samples of the corpus itself: what stands in a known secret pattern is
-labelled random, every other long identifier-like run is labelled ordinary. The counts cover every document; a table of
+labelled random; of all other long identifier-like runs those are labelled ordinary that are words, numbers and marks. The counts cover every document; a table of
 them has at most 2 * 67 * 67 rows, whatever the input's size. Null and empty texts have no spans; a table without
 documents gives no rows; without any labelled sample the models are uniform, and nothing but the patterns is found.
 Repeated rows are scanned one by one; extra columns are dropped by the query and kept by ``redact``.
@@ -31,6 +31,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Ordinary samples are shorter runs too. Characters' weight in an ordinary model without samples.
 SHORT = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % (LEAST * 3 // 4))
 FEW = 20
+ORDINARY = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}(?![0-9])))+[+/_=-]*")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1  # the last state: the start
 #: A run is random if the ratio's logarithm is at least this in all, and this for each character.
@@ -78,7 +79,8 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text:
                 base = base_spans(text)
                 samples[1].extend(folded(secret) for _, _, _, secret in base if len(secret) >= LEAST)
-                samples[0].extend(folded(text[a:b]) for a, b in runs(text, base, SHORT))
+                own = (text[a:b] for a, b in runs(text, base, SHORT))
+                samples[0].extend(folded(r) for r in own if r.isalpha() and r.islower() or ORDINARY.fullmatch(r))
         for label in (0, 1):
             if samples[label]:
                 counts[label] += np.bincount(pair_codes(samples[label])[0], minlength=SIZE * SIZE)
