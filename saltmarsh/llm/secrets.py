@@ -51,8 +51,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def runs(text: str, taken: list[tuple[int, int, int, str]], pattern: re.Pattern = RUN) -> list[tuple[int, int]]:
-    """Identifier-like runs that no pattern match touches."""
-    found = [m.span() for m in pattern.finditer(text)]
+    """Identifier-like runs that no pattern match touches; digits alone are a number, not one."""
+    found = [m.span() for m in pattern.finditer(text) if not m[0].isdigit()]
     return [(a, b) for a, b in found if not any(s < b and a < e for s, e, _, _ in taken)] if taken else found
 
 
