@@ -119,7 +119,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 ORACLE = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as rid from documents),
      b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
-     t as (select distinct item_id, least(len(w), 13) as l, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), i -> array_to_string(w[i : i + least(len(w), 13) - 1], ' '))) as g from b where len(w) > 0),
+     t as (select distinct item_id, least(len(w), 13) as l, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i : i + least(len(w), 13) - 1], ' '))) as g from b where len(w) > 0),
      ls as (select distinct l from t),
      p as (select rid, l, unnest(range(1, len(w) - l + 2)) as i, w from d, ls where len(w) >= l),
      h as (select p.rid, p.i, p.l, t.item_id from p join t on t.l = p.l and t.g = array_to_string(p.w[p.i : p.i + p.l - 1], ' ')),
