@@ -13,7 +13,9 @@ alone; rows without an id come first; repeated ids follow one another, ordered b
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,8 +34,12 @@ from saltmarsh.llm._io import shared_dir, table
 END_ID = 1
 DICTIONARY_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2_000, 20_000, 64 << 10, 1
 #: Bytes of frames of a shard record, cached pieces of a worker.
-SHARD, CACHE = 4 << 20, 400_000
+SHARD, CACHE = 4 << 20, 800_000
 _loaded: dict = {}
+#: Lower-case letters of ASCII and Latin-1, composed: neither normalisation nor pre-tokens change or divide them.
+SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The vocabulary's letters for the bytes that aren't printable in Latin-1.
+LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 class Pieces:
@@ -54,14 +60,43 @@ class Pieces:
         missing: set[bytes] = set()
         for pieces in cut:
             missing.update(pieces)
-        new = [p for p in missing if p not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, self.width).tobytes()
+        gc.disable()  # a million small tuples and strings, no cycles
+        self.learn({p for p in missing if p not in known})
+        gc.enable()
         last = np.array([end], self.width).tobytes()
         return [b"".join(map(known.__getitem__, pieces)) + last for pieces in cut]
 
+    def learn(self, missing: set[bytes]) -> None:
+        """Ids of new pieces. A comma or stop after a letter is a pre-token of its own, and letters of ASCII may be lowered."""
+        stems: list[tuple[bytes, bytes, bytes]] = []
+        new: set[bytes] = set()
+        for p in missing:
+            tail = p[-1:] if p.endswith((b",", b".")) and p[-2:-1].isalpha() else b""
+            stem = p[:-1] if tail else p
+            if stem.isalpha():
+                stem = stem.lower()
+            if stem not in self.known:
+                new.add(stem)
+            if tail and tail not in self.known:
+                new.add(tail)
+            if stem is not p:
+                stems.append((p, stem, tail))
+        simple = {p for p in new if SIMPLE.fullmatch(p)}
+        for p in simple:
+            self.known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p.decode("latin-1").translate(LETTERS))], self.width).tobytes()
+        new -= simple
+        whole = [p for p in new if b"|" not in p]
+        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        for at in range(0, len(whole), 256):
+            part = whole[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, self.width)
+            for piece, found in zip(part, np.split(ids, np.flatnonzero(ids == mark[0])), strict=True):
+                self.known[piece] = found[found != mark[0]].tobytes()
+        for piece in new.difference(whole):
+            self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.width).tobytes()
+        for piece, stem, tail in stems:
+            self.known[piece] = self.known[stem] + (self.known[tail] if tail else b"")
+
 
 def pieces_of(path: str) -> Pieces:
     if path not in _loaded:
