@@ -4,8 +4,8 @@ A shingle x has coordinate pi(sigma(x) + k mod 2^32) under shift k; sigma and pi
 Bands of coordinates propose pairs, full sets of 64-bit shingle hashes confirm them. Documents with equal sets are one
 class, of which one member goes on. In each bucket every member is first compared with a leader, the member that shares most
 bucket places with others (in a group of copies of one text that differ from one another, the text itself), which settles
-large groups in a linear number of pairs; a leader has then met its whole bucket and leaves it. Buckets that after some
-rounds still hold more than one component are compared pair by pair across components, so no candidate is left out. With
+large groups in a linear number of pairs; a leader has then met its whole bucket and leaves it. Further rounds take leaders
+by a hash. Buckets that after these rounds still hold more than one component are compared pair by pair across components, so no candidate is left out; bit sketches first drop pairs that can't share enough. With
 54 bands of 6 a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^54 = 7e-8.
 
 Null and empty texts have an empty set, link with nothing and are kept. Texts of fewer words than a shingle are one
@@ -25,8 +25,10 @@ from saltmarsh.llm import _vec
 from saltmarsh.llm._io import cut, sized, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 4, 80, 54, 6
-#: Rounds in which the members of a bucket meet its leader alone.
+#: Leaders that the members of a bucket meet: in the first round by shared places, in the others by a hash.
 ROUNDS = 2
+#: Longs of a document's bit sketch; the sketches bound how many shingles two sets can share.
+SKETCH = 16
 #: Pairs for one copy of a leader's set when pairs are brought together with it.
 PAIRS_A_SALT = 1000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -75,26 +77,29 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_hash, bands (array of band hashes, empty for an empty set)."""
+    """doc_id, n_shingles, set_hash, bands (array of band hashes, empty for an empty set), sketch (a bit for each shingle's hash)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = _K[np.arange(rows) % len(_K)]
         for batch in batches:
             for part in _vec.chunks(batch):
-                sizes, hashes, lists = [], [], []
+                sizes, hashes, lists, sketches = [], [], [], []
                 for s in shingle_sets(part.column("text"), width):
                     sizes.append(len(s))
                     hashes.append(int(_vec.mix(_vec.mix(s + _K[0]).sum(keepdims=True, dtype=np.uint64))[0]) if len(s) else 0)
                     lists.append(signature(s, bands * rows) if len(s) else None)
+                    bits = np.zeros(64 * SKETCH, np.uint8)
+                    bits[(s % np.uint64(64 * SKETCH)).astype(np.int64)] = 1
+                    sketches.append(np.packbits(bits).view(np.int64))
                 full = np.array([x for x in lists if x is not None], np.uint64).reshape(-1, bands, rows)
                 keys = _vec.mix((full * mult).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _K[1])
                 offsets = np.r_[0, np.cumsum([0 if x is None else bands for x in lists])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(_vec.signed(np.array(hashes, np.uint64))), pa.ListArray.from_arrays(offsets, _vec.signed(keys.reshape(-1)))],
-                    ["doc_id", "n_shingles", "set_hash", "bands"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(_vec.signed(np.array(hashes, np.uint64))), pa.ListArray.from_arrays(offsets, _vec.signed(keys.reshape(-1))), pa.ListArray.from_arrays(np.arange(0, SKETCH * len(sizes) + 1, SKETCH, dtype=np.int32), np.concatenate(sketches))],
+                    ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, set_hash long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, set_hash long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -153,13 +158,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
         needed = cut(members.select("doc_id").distinct(), "needed")
         sets = cut(full_sets(docs.join(sized(needed), "doc_id", "left_semi"), width), "sets")
         left = members.withColumn("root", F.col("doc_id"))
-        for _ in range(ROUNDS):
-            led, left = meet_leaders(left)
+        for k in range(ROUNDS):
+            led, left = meet_leaders(left, k)
             pairs = cut(fitting(led, similarity), "pairs")
             stars = components(stars.union(verified(pairs, sets, similarity)))
             left = still_mixed(left, stars)
+        sketches = signed.filter("doc_id is not null").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id", "n_shingles"])
+        left = cut(left.join(sketches, ["doc_id", "n_shingles"]), "left")
         x, y = left.alias("x"), left.alias("y")
-        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n_shingles", "y.n_shingles") >= similarity * F.greatest("x.n_shingles", "y.n_shingles")))
+        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_link(similarity))
         pairs = cut(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
         stars = components(stars.union(verified(pairs, sets, similarity)))
     roots = classes.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("n_shingles", "set_hash", F.coalesce("root", "rep").alias("root"))
@@ -169,11 +176,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def meet_leaders(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, n, m) for members a and their buckets' leaders b of other components, and the members without the leaders."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    degrees = members.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    leaders = members.join(degrees, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "n_shingles", "root")).alias("leader"))
+def meet_leaders(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n, m) for members a and their buckets' leaders b of other components, and the members without the leaders.
+
+    By a hash each bucket has a leader of its own, so that a member meets as many as it has buckets: among copies that
+    are similar in chains rather than to one text, this joins nearly all of them.
+    """
+    if number:
+        ranked = members.withColumn("degree", F.xxhash64("bucket", "doc_id"))
+    else:
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+        ranked = members.join(members.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("degree")), "doc_id")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "n_shingles", "root")).alias("leader"))
     both = cut(members.join(leaders, "bucket").filter("doc_id != leader.doc_id"), "led")
     other = both.filter("root != leader.root")
     led = other.select(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("leader.n_shingles").alias("m")).distinct()
@@ -187,6 +201,15 @@ def still_mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
     return cut(rooted.join(mixed, "bucket", "left_semi"), "mixed")
 
 
+def may_link(similarity: int):
+    """Whether x and y can be similar enough, by sizes and sketches: each bit that only one has is a shingle that only it has."""
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseAND(F.bitwise_not(F.col(f"{b}.sketch")[k]))) for k in range(SKETCH)), F.lit(0))
+    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
+    sizes = 100 * F.least(n, m) >= similarity * F.greatest(n, m)
+    enough = lambda own, lost: (100 + similarity) * (own - lost) >= similarity * (n + m)
+    return sizes & enough(n, only("x", "y")) & enough(m, only("y", "x"))
+
+
 def fitting(pairs: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose set sizes n, m allow the similarity."""
     return pairs.filter(100 * F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b")
