@@ -16,6 +16,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -83,7 +84,9 @@ class Pieces:
                 stems.append((p, stem, tail))
         simple = {p for p in new if SIMPLE.fullmatch(p)}
         for p in simple:
-            self.known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p.decode("latin-1").translate(LETTERS))], self.width).tobytes()
+            letters = p.decode() if p.isascii() else p.decode("latin-1").translate(LETTERS)
+            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            self.known[p] = struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
         new -= simple
         whole = [p for p in new if b"|" not in p]
         mark = self.tokenizer.encode("|", add_special_tokens=False).ids
