@@ -9,7 +9,7 @@ aren't empty for both, at the higher of both texts' own levels.
 
 Texts whose terms all lie outside the band are fingerprinted by the set of all their terms; texts without a word (null ones
 too) by ``-``. The next document is by ascending doc_id (rows without an id first, equal ids by text), after the last the
-first; a lone document is its own next. Rows reach their neighbours in range buckets, each of which also gets the first row of
+first; a lone document is its own next. Rows reach their neighbours in buckets dealt to tasks by range, each with the first row of
 the next.
 """
 
@@ -117,7 +117,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     to = F.coalesce(*(F.when(F.col("at") == k, v) for k, v in before.items())) if before else F.lit(0)
     ghosts = heads.select("doc_id", "text", to.cast("int").alias("bucket"), F.lit(1).alias("ghost"))
     rows = own.select("doc_id", "text", F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("ghost")).union(ghosts)
-    return rows.repartition(max(2, len(at) + 1), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartitionByRange(max(2, len(at) + 1), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def compare(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
