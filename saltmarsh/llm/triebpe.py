@@ -14,7 +14,6 @@ encoded one by one; very long texts are encoded whole. Only ``doc_id`` and ``tex
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -30,7 +29,9 @@ from saltmarsh.llm._io import table
 #: Fixed value: the pre-tokenizer's public pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cached pieces of a worker.
-CACHE = 300_000
+CACHE = 600_000
+#: Letters alone, with or without a space before: one word to the pattern.
+_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _ODD = re.compile(r"  | \n|\n |\n\n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -58,78 +59,91 @@ class TrieBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {number: content.encode() for content, number in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.longest = max(map(len, self.vocab))
+        self.heads = {token[:end] for token, number in self.vocab.items() if number not in self.special.values() for end in range(1, len(token) + 1)}
+        self.steps: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
         self.pattern = regex.compile(PATTERN)
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[str, str] = {}
+        self.follows: dict[int, bool] = {}
         self.pieces: dict[str, str] = {}
         self.id_bytes = {str(number): token for number, token in self.bytes_of.items()}
 
     def merged(self, raw: bytes) -> list[bytes]:
         """Plain merging, smallest rank first, leftmost first among equals."""
-        parts: list[bytes | None] = [raw[k : k + 1] for k in range(len(raw))]
-        after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-        heap = [(r, k, parts[k], parts[k + 1]) for k in range(len(raw) - 1) if (r := self.ranks.get((parts[k], parts[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, k, a, b = heapq.heappop(heap)
-            j = after[k]
-            if parts[k] != a or j >= len(raw) or parts[j] != b:
-                continue
-            parts[k], parts[j] = a + b, None
-            after[k] = after[j]
-            if after[j] < len(raw):
-                before[after[j]] = k
-            for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y < len(raw) and (r := self.ranks.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [p for p in parts if p is not None]
-
-    def may_follow(self, a: bytes, b: bytes) -> bool:
-        found = self.follows.get((a, b))
-        if found is None:
-            if len(self.follows) > 4 * CACHE:
-                self.follows.clear()
-            found = self.follows[a, b] = self.merged(a + b) == [a, b]
+        parts = [raw[k : k + 1] for k in range(len(raw))]
+        none = len(self.ranks)
+        ranks = [self.ranks.get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = self.ranks.get((parts[k - 1], parts[k]), none)
+            if k < len(ranks):
+                ranks[k] = self.ranks.get((parts[k], parts[k + 1]), none)
+        return parts
+
+    def may_follow(self, a: int, b: int) -> bool:
+        if len(self.follows) > 4 * CACHE:
+            self.follows.clear()
+        a_bytes, b_bytes = self.bytes_of[a], self.bytes_of[b]
+        found = self.follows[a << 32 | b] = self.merged(a_bytes + b_bytes) == [a_bytes, b_bytes]
+        return found
+
+    def step(self, path: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+        """The longest end of ``path`` that begins a token, and the tokens that ``path`` ends in, longest first, with their lengths."""
+        if len(self.steps) > CACHE:
+            self.steps.clear()
+        state = path
+        while state and state not in self.heads:
+            state = state[1:]
+        ends = [(self.vocab[state[k:]], len(state) - k) for k in range(len(state)) if state[k:] in self.vocab]
+        found = self.steps[path] = state, ends
         return found
 
     def encode_words(self, words: list[str]) -> None:
-        """Ids of distinct words into ``words``, in one depth-first walk of their trie."""
-        vocab, longest, may_follow = self.vocab, self.longest, self.may_follow
-        last: list[bytes] = [b""]  # of each prefix of the word at hand, its last token
+        """Ids of distinct words into ``pieces``, in one depth-first walk of their trie."""
+        steps, follows, may_follow = self.steps, self.follows, self.may_follow
+        last: list[int] = [-1]  # of each prefix of the word at hand, its last token, that token's length, and the state
+        length: list[int] = [0]
+        states: list[bytes] = [b""]
         held = b""
         for raw, word in sorted((w.encode(), w) for w in words):
             shared, top = 0, min(len(raw), len(held))
             while shared < top and raw[shared] == held[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = raw[start:end]
-                    if token in vocab and (not start or may_follow(last[start], token)):
-                        last.append(token)
+            del last[shared + 1 :], length[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
+            for end in range(shared, len(raw)):
+                path = state + raw[end : end + 1]
+                state, ends = steps.get(path) or self.step(path)
+                for token, size in ends:
+                    start = end + 1 - size
+                    if not start or (ok := follows.get(last[start] << 32 | token)) or (ok is None and may_follow(last[start], token)):
                         break
+                last.append(token)
+                length.append(size)
+                states.append(state)
             held, ids, end = raw, [], len(raw)
             while end:
-                ids.append(str(vocab[last[end]]))
-                end -= len(last[end])
-            self.words[word] = ",".join(reversed(ids))
+                ids.append(str(last[end]))
+                end -= length[end]
+            self.pieces[word] = ",".join(reversed(ids))
 
     def add_pieces(self, missing: set[str]) -> None:
+        """Ids of pieces; one that is a single word to the pattern is its own word, as every word is by itself."""
         missing.discard("")
-        cut = {piece: self.pattern.findall(piece) for piece in missing}
-        self.encode_words(list({w for own in cut.values() for w in own if w not in self.words}))
+        cut = {piece: self.pattern.findall(piece) for piece in missing if not _WORD.fullmatch(piece)}
+        new = {w for own in cut.values() for w in own if w not in self.pieces} | missing.difference(cut)
+        self.encode_words(list(new))
         for piece, own in cut.items():
-            self.pieces[piece] = ",".join([self.words[w] for w in own])
+            self.pieces[piece] = ",".join([self.pieces[w] for w in own])
 
     def plain(self, text: str) -> bool:
         return not _ODD.search(text) and text[:1] not in ("\n", " ") and text[-1:] not in ("\n", " ") and not any(s in text for s in self.special)
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by commas."""
-        if len(self.pieces) > CACHE or len(self.words) > CACHE:
+        if len(self.pieces) > CACHE:
             self.pieces.clear()
-            self.words.clear()
         ways = [self.plain(t) for t in texts]
         pieces, newline = self.pieces, str(self.vocab[b"\n"])
         cut: list[list[list[str]] | None] = []
@@ -143,11 +157,11 @@ class TrieBpe:
                         lines = None
                         break
                     lines.append(own)
-                    missing.update(p for p in own if p not in pieces)
+                    missing.update(own)
                 cut.append(lines)
             else:
                 cut.append(None)
-        self.add_pieces(missing)
+        self.add_pieces(missing.difference(pieces))
         join = f",{newline},".join
         get = pieces.__getitem__
         return [join([",".join(map(get, own)) for own in lines]) if lines else self.encode_odd(text) for text, lines in zip(texts, cut, strict=True)]
@@ -160,8 +174,8 @@ class TrieBpe:
                 out.append(str(self.special[part]))
             elif part:
                 words = self.pattern.findall(part)
-                self.encode_words(list({w for w in words if w not in self.words}))
-                out += [self.words[w] for w in words]
+                self.encode_words(list(set(words).difference(self.pieces)))
+                out += [self.pieces[w] for w in words]
         return ",".join(out)
 
     def decode(self, ids: str) -> str:
