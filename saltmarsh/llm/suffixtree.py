@@ -3,16 +3,14 @@
 A text is read as its lower-cased words, a space after each, and one end byte. The tree's contexts have up to DEPTH bytes. A
 context stays if its next-byte distribution diverges from its suffix's: n * KL >= DIVERGENCE (nats); suffixes of what stays
 stay too. Distributions are smoothed with their suffix's: each count gives up DISCOUNT, P(s | c) = (count - DISCOUNT + slack
-* P(s | suffix of c)) / n, where the slack is all that was given up and all counts that aren't kept. A byte is scored in its longest suffix state. Counts cover all
-training documents; pairs of context and byte are kept from a share RARE of all bytes on, so that the collected tree has at
-most (DEPTH + 1) / RARE pairs at any input size.
+* P(s | suffix of c)) / n, where the slack is all that was given up. A byte is scored in its longest suffix state, and a
+text's score is the sum over its bytes: no word counts enter it. Every counted context is judged, however rare.
 
-A token's probability mixes the tree's, the product over its bytes, with its share of the training tokens: the tree has the
-share of training tokens that occur once (as many tokens as that are expected to be new). Copies of documents in the training
-text make long contexts look surer than they are, and words seen often need no spelling; the mixture serves both.
-
-Word counts are exact and by 64-bit hashes of the words. Words of a share FREQUENT of all tokens (1 / FREQUENT at most) are
-broadcast; all others' counts reach the documents by a join.
+Contexts of up to WIDE - 1 bytes (2^24 pairs at most) are held by the driver. All deeper ones are dealt to tasks by their last
+WIDE bytes, so that each task holds whole branches; it values every gram that any document has, seen in training or not.
+Values of grams of a share COMMON of the training bytes (1 / COMMON at most) are broadcast; all others reach the documents
+by a join. In the same way words of a share FREQUENT of all tokens are broadcast for the unigram, whose counts are exact and by
+64-bit hashes of the words.
 
 Null and empty texts are the end token alone. Without training documents the base is uniform over one type and the tree
 gives every byte 1/256. Repeated rows train and are scored one by one. Only ``doc_id`` and ``text`` are read.
@@ -23,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,7 +30,11 @@ from saltmarsh.llm import _vec
 from saltmarsh.llm._io import cut, table
 from saltmarsh.llm._trees import Scorer
 
-DEPTH, DIVERGENCE, DISCOUNT, RARE, FREQUENT = 5, 6.0, 0.9, 5e-7, 4e-6
+DEPTH, DIVERGENCE, DISCOUNT, FREQUENT = 5, 6.0, 0.9, 4e-6
+#: Bytes of the grams that the driver holds, and of a context by which branches are dealt to tasks.
+WIDE = 3
+#: Share of the training bytes from which a gram's value is broadcast, and grams of a task's branches.
+COMMON, GRAMS_A_TASK = 1e-7, 1_000_000
 FOLDS = 10
 ALPHA = 0.1
 END, SPACE = 10, 32
@@ -74,8 +75,20 @@ def prepared(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tokens, at + np.arange(rows + 1), normalised(data, starts, ends, at)[0], np.r_[0, np.cumsum(sizes)]
 
 
+def low(width: int) -> np.uint64:
+    return np.uint64((1 << (8 * width)) - 1)
+
+
+def located(own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' places in the sorted ``own``, and whether they are there."""
+    if not len(own):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    return at, own[at] == keys
+
+
 def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """kind (0: word, 1: gram of depth + 1 bytes), item, n over all rows."""
+    """kind (0: word, 1: gram of depth + 1 bytes), item, n over all rows; rows that are held out give their grams only, as n = 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = _vec.Tally(), _vec.Tally()
@@ -90,81 +103,133 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             for part in _vec.chunks(batch):
                 tokens, at, data, offsets = prepared(part.column("text"))
-                tallies[0].add(tokens)
-                tallies[1].add(_vec.grams(data, offsets[at], depth + 1, END))
+                held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                grams, of_gram = _vec.grams(data, offsets[at], depth + 1, END), np.repeat(held, np.diff(offsets[at]))
+                tallies[0].add(tokens[~np.repeat(held, np.diff(at))])
+                tallies[1].add(grams[~of_gram])
+                if held.any():
+                    new = np.unique(grams[of_gram])
+                    tallies[1].add(new, np.zeros(len(new), np.int64))
                 for kind in (0, 1):
                     yield from out(kind, tallies[kind].most)
         for kind in (0, 1):
             yield from out(kind, 0)
 
-    parts = docs.select("text").mapInArrow(each, "kind int, item long, n long")
+    held_out = F.coalesce("held_out", F.lit(False)) if "held_out" in docs.columns else F.lit(False)
+    parts = docs.select("text", held_out.alias("held_out")).mapInArrow(each, "kind int, item long, n long")
     return parts.groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
-def gram_levels(counted: DataFrame, total: int, depth: int = DEPTH, rare: float = RARE) -> list[pd.DataFrame]:
-    """For each number of bytes from depth + 1 down to 1 the grams (item, n) that are frequent enough."""
-    now = counted.filter("kind = 1").select("item", "n")
-    levels = []
-    for width in range(depth + 1, 0, -1):
-        if width <= depth:
-            now = now.select(F.col("item").bitwiseAND(F.lit((1 << (8 * width)) - 1)).alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
-        if width in (depth, depth - 2):
-            now = cut(now, "grams")
-        levels.append(now.filter(F.col("n") >= max(1.0, rare * total)).toPandas())  # at most 1 / rare rows
+def gram_levels(counted: DataFrame, total: int, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each number of bytes from depth + 1 down to 1 all grams in order and their counts, ``total`` in sum, on the driver."""
+    item = F.col("item").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1)).alias("item")
+    widest = counted.filter("kind = 1 and n > 0").select(item, "n").groupBy("item").agg(F.sum("n").alias("n")).toPandas() if total else None
+    now = _vec.unique_counts(*((widest["item"].to_numpy(np.int64).view(np.uint64), widest["n"].to_numpy(np.int64)) if total else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+    levels = [now]
+    for width in range(depth, 0, -1):
+        levels.append(_vec.unique_counts(levels[-1][0] & low(width), levels[-1][1]))
     return levels
 
 
+def smoothed(keys: np.ndarray, n: np.ndarray, lower: np.ndarray, discount: float) -> tuple[np.ndarray, ...]:
+    """Of all pairs of context and byte of one width: the contexts, the pairs' places among them, their smoothed
+    probabilities, the contexts' divergences, and what leaving a context for a shorter one adds."""
+    context, place = np.unique(keys >> np.uint64(8), return_inverse=True)
+    whole = np.bincount(place, n, len(context))
+    off = np.minimum(discount, n)
+    slack = np.bincount(place, off, len(context))
+    p = (n - off + slack[place] * lower) / whole[place]
+    less = np.minimum(discount, n - 1)  # each occurrence is judged by all others
+    others = (n - 1 - less + (slack[place] - off + less) * lower) / np.maximum(whole[place] - 1, 1)
+    gain = np.bincount(place, np.where(whole[place] > 1, n * np.log(np.maximum(others, 1e-9 * lower) / lower), 0.0), len(context))
+    return context, place, p, gain, np.log10(slack / whole)
+
+
+def branch(keys: np.ndarray, n: np.ndarray, upper: tuple[np.ndarray, np.ndarray], depth: int, wide: int, divergence: float = DIVERGENCE, discount: float = DISCOUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For grams that hold all branches of some contexts of ``wide`` bytes: their scores in the branches' states, whether
+    they go on to the contexts that are shorter, and whether the branch stays at all. ``upper`` has the pairs of ``wide`` bytes."""
+    levels, now = {}, _vec.unique_counts(keys[n > 0], n[n > 0])
+    for width in range(depth + 1, wide, -1):
+        levels[width] = now = _vec.unique_counts(now[0] & low(width), now[1])
+    exact, found = {wide: upper}, {}
+    for width in range(wide + 1, depth + 2):
+        own, seen = levels[width]
+        found[width] = smoothed(own, seen.astype(float), Tree.lookup(exact[width - 1], own & low(width - 1)), discount)
+        exact[width] = own, found[width][2]
+    states, need = {}, np.zeros(0, np.uint64)
+    for width in range(depth + 1, wide, -1):
+        context, _, _, gain, leave = found[width]
+        on = (gain >= divergence) | np.isin(context, need)
+        states[width] = context[on], leave[on]
+        need = np.unique(context[on] & low(width - 2))
+    score, more, todo = np.zeros(len(keys)), np.ones(len(keys), bool), np.arange(len(keys))
+    for width in range(depth + 1, wide, -1):
+        now = keys[todo] & low(width)
+        state, inside = located(states[width][0], now >> np.uint64(8))
+        pair, seen = located(exact[width][0], now)
+        done, left = inside & seen, inside & ~seen
+        score[todo[done]] += np.log10(exact[width][1][pair[done]])
+        more[todo[done]] = False
+        score[todo[left]] += states[width][1][state[left]]
+        todo = todo[~done]
+    stays = located(states[wide + 1][0], (keys >> np.uint64(8)) & low(wide))[1] if depth >= wide else np.zeros(len(keys), bool)
+    return score, more, stays
+
+
+def branches(counted: DataFrame, upper: tuple[np.ndarray, np.ndarray], grams: int, depth: int = DEPTH, wide: int = WIDE) -> DataFrame:
+    """item, n, p, more, stays of all grams, those held out too, as ``branch`` has them."""
+    spark = counted.sparkSession
+    shared = spark.sparkContext.broadcast(upper)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("item").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            items, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found = branch(items.view(np.uint64), n, shared.value, depth, wide)
+            for k in range(0, len(items), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (items, n, *found)], ["item", "n", "p", "more", "stays"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams // GRAMS_A_TASK))
+    ends = F.shiftrightunsigned("item", 8).bitwiseAND(F.lit(int(low(wide))))
+    return counted.filter("kind = 1").select("item", "n").repartition(tasks, ends).mapInArrow(each, "item long, n long, p double, more boolean, stays boolean")
+
+
 class Tree:
-    """The retained contexts by length, their smoothed distributions, and the scorer made from them."""
+    """The retained contexts by length, their smoothed distributions, and the scorer made from them. ``need``: contexts of
+    the greatest length that stay in any case, as deeper ones do."""
 
-    def __init__(self, levels: list[pd.DataFrame], total: int, divergence: float = DIVERGENCE, discount: float = DISCOUNT):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], total: int, divergence: float = DIVERGENCE, discount: float = DISCOUNT, need: np.ndarray | None = None):
         depth = len(levels) - 1
-        by_width = {depth + 1 - k: tuple(c[np.argsort(f["item"].to_numpy().view(np.uint64))] for c in (f["item"].to_numpy().view(np.uint64), f["n"].to_numpy().astype(float))) for k, f in enumerate(levels)}
+        by_width = {depth + 1 - k: (keys, n.astype(float)) for k, (keys, n) in enumerate(levels)}
         unknown = -np.log10(256.0)
         keys, n = by_width[1]
         top = (n + 1 / 256) / (total + 1)
-        tables = {1: (keys, np.log10(top))}  # by width: all pairs of context and byte, with their final score
-        leave = np.zeros(1, np.uint64), np.array([-np.log10(total + 1.0)])
-        exact = {1: (keys, top)}  # by width: smoothed probabilities, whether the context stays or not
-        kept: dict[int, np.ndarray] = {0: np.zeros(1, np.uint64)}
-        gains: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.exact = {1: (keys, top)}  # by width: smoothed probabilities, whether the context stays or not
+        found = {}
         for width in range(2, depth + 2):
             keys, n = by_width[width]
-            context, place = np.unique(keys >> np.uint64(8), return_inverse=True)
-            held = np.bincount(place, n, len(context))
-            own, seen = by_width[width - 1]
-            at = np.minimum(np.searchsorted(own, context), max(0, len(own) - 1))
-            whole = np.maximum(held, np.where(own[at] == context, seen[at], held) if len(own) else held)
-            lower = self.lookup(exact[width - 1], keys & np.uint64((1 << (8 * (width - 1))) - 1))
-            off = np.minimum(discount, n)
-            slack = np.bincount(place, off, len(context)) + whole - held
-            p = (n - off + slack[place] * lower) / whole[place]
-            exact[width] = keys, p
-            less = np.minimum(discount, n - 1)  # each occurrence is judged by all others
-            others = (n - 1 - less + (slack[place] - off + less) * lower) / np.maximum(whole[place] - 1, 1)
-            gain = np.bincount(place, np.where(whole[place] > 1, n * np.log(np.maximum(others, 1e-9 * lower) / lower), 0.0), len(context))
-            gains[width] = context, gain, np.log10(slack / whole), keys, place
+            found[width] = smoothed(keys, n, self.lookup(self.exact[width - 1], keys & low(width - 1)), discount)
+            self.exact[width] = keys, found[width][2]
         stay: dict[int, np.ndarray] = {}
-        need = np.zeros(0, np.uint64)
+        need = np.zeros(0, np.uint64) if need is None else need
         for width in range(depth + 1, 1, -1):
-            context, gain = gains[width][:2] if width in gains else (np.zeros(0, np.uint64), np.zeros(0))
-            on = (gain >= divergence) | np.isin(context, need)
-            stay[width] = on
-            need = np.unique(context[on] & np.uint64((1 << (8 * max(0, width - 2))) - 1))
+            context, gain = found[width][0], found[width][3]
+            stay[width] = (gain >= divergence) | np.isin(context, need)
+            need = np.unique(context[stay[width]] & low(width - 2))
         self.kept = {0: 1, **{w - 1: int(on.sum()) for w, on in stay.items()}}
         # A pair's score is that of its longest state: with a context that stays its own, else that of the shorter context.
-        final = {1: tables[1]}
-        states = {1: leave}
+        self.final = {1: (by_width[1][0], np.log10(top))}
+        self.states = {1: (np.zeros(1, np.uint64), np.array([-np.log10(total + 1.0)]))}
         for width in range(2, depth + 2):
-            context, _, out, keys, place = gains[width]
-            states[width] = context[stay[width]], out[stay[width]]
-            scores = np.log10(exact[width][1])
+            context, place, p, _, out = found[width]
+            self.states[width] = context[stay[width]], out[stay[width]]
+            keys, scores = by_width[width][0], np.log10(p)
             gone = ~stay[width][place]
-            scores[gone] = self.walk(final, states, keys[gone], width - 1, unknown)
-            final[width] = keys, scores
+            scores[gone] = self.walk(self.final, self.states, keys[gone], width - 1, unknown)
+            self.final[width] = keys, scores
         steps = []
         for width in range(depth + 1, 0, -1):
-            steps.append((final[width][0], final[width][1][:, None].astype(np.float32), states[width][0], states[width][1][:, None].astype(np.float32)))
+            steps.append((self.final[width][0], self.final[width][1][:, None].astype(np.float32), self.states[width][0], self.states[width][1][:, None].astype(np.float32)))
         self.scorer = Scorer(steps, np.array([unknown], np.float32), END)
 
     @staticmethod
@@ -194,51 +259,57 @@ class Tree:
         return out
 
 
-SUMMARY = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:long,p:double>>"
+SUMMARY = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, words array<long>, grams array<struct<item:long,tail:double>>"
 
 
 def score(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", (fold(folds) == 0).alias("held_out"))
-    counted = cut(counts(docs.filter(~F.col("held_out") | F.col("held_out").isNull()), depth), "counts")
-    sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()}
-    tokens, types, once = (sums[0].n, sums[0].v, sums[0].once) if 0 in sums else (0, 0, 0)
-    letters = sums[1].n if 1 in sums else 0
-    spelt = min(max(once / tokens, 0.01), 0.99) if tokens else 1.0
-    common = counted.filter((F.col("kind") == 0) & (F.col("n") >= max(1.0, FREQUENT * tokens))).toPandas()  # at most 1 / FREQUENT rows
-    tree = Tree(gram_levels(counted, letters, depth), letters).scorer if letters else None
-    model = docs.sparkSession.sparkContext.broadcast((_vec.Slots(common["item"].to_numpy().view(np.uint64)), np.append(common["n"].to_numpy(float), 1.0), tree))
+    counted = cut(counts(docs, depth), "counts")
+    sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    tokens, types = (sums[0].n, sums[0].v) if 0 in sums else (0, 0)
+    letters, wide = sums[1].n if 1 in sums else 0, min(WIDE, depth + 1)
+    words = counted.filter((F.col("kind") == 0) & (F.col("n") >= max(1.0, FREQUENT * tokens))).toPandas()  # at most 1 / FREQUENT rows
+    levels = gram_levels(counted, letters, wide - 1)  # at most 2^24 of the widest
+    unknown, least = -np.log10(256.0), max(1.0, COMMON * letters)
+    values = cut(branches(counted, Tree(levels, letters).exact[wide], sums[1].v if 1 in sums else 0, depth, wide), "values")
+    need = values.filter("stays").select(F.shiftrightunsigned("item", 8).bitwiseAND(F.lit(int(low(wide - 1)))).alias("c")).distinct().toPandas()  # at most 2^16 rows
+    tree = Tree(levels, letters, need=need["c"].to_numpy(np.int64).view(np.uint64))
+    upper = tree.final, tree.states
+    often = values.filter(F.col("n") >= least).select("item", "p", "more").toPandas()  # at most 1 / COMMON rows
+    keys = often["item"].to_numpy(np.int64).view(np.uint64)
+    worth = often["p"].to_numpy(float) + np.where(often["more"].to_numpy(bool), Tree.walk(*upper, keys, wide, unknown), 0.0)
+    model = docs.sparkSession.sparkContext.broadcast((_vec.Slots(words["item"].to_numpy().view(np.uint64)), np.append(words["n"].to_numpy(float), 1.0), _vec.Slots(keys), np.append(worth, 0.0), upper))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, often, tree = model.value
+        slots, frequent, common, worth, upper = model.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in _vec.chunks(batch):
                 hashes, at, data, offsets = prepared(part.column("text"))
-                rows = part.num_rows
-                # Contexts reach over tokens, so bytes are scored by rows and then summed by tokens.
-                bytes_of = tree.each(data, offsets[at])[:, 0] if tree is not None else np.full(len(data), -np.log10(256.0))
-                spelling = _vec.row_sums(bytes_of, offsets)
+                rows, ends = part.num_rows, offsets[at]
                 place = slots.find(hashes)
                 known = place >= 0
-                logs = np.where(known, np.log10(often[place] + ALPHA), 0.0)
-                mixed = np.logaddexp(np.log(often[place] / max(1, tokens)) + np.log1p(-spelt + 1e-300), spelling * np.log(10) + np.log(spelt)) / np.log(10)
-                lists = np.r_[0, np.cumsum(~known)][at].astype(np.int32)
-                rare = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(_vec.signed(hashes[~known])), pa.array(spelling[~known])], ["word", "p"]))
+                logs = np.where(known, np.log10(frequent[place] + ALPHA), 0.0)
+                grams = _vec.grams(data, ends, depth + 1, END)
+                gram = common.find(grams)
+                rare = gram < 0
+                far = grams[rare]
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(~known)][at].astype(np.int32), pa.array(_vec.signed(hashes[~known])))
+                tails = pa.StructArray.from_arrays([pa.array(_vec.signed(far)), pa.array(Tree.walk(*upper, far, wide, unknown))], ["item", "tail"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + rows)), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(_vec.row_sums(known.astype(float), at).astype(np.int64)), pa.array(_vec.row_sums(logs, at)), pa.array(_vec.row_sums(np.where(known, mixed, 0.0), at)), rare],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                    [pa.array(np.arange(row, row + rows)), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(_vec.row_sums(known.astype(float), at).astype(np.int64)), pa.array(_vec.row_sums(logs, at)), pa.array(_vec.row_sums(worth[gram], ends)), lists, pa.ListArray.from_arrays(np.r_[0, np.cumsum(rare)][ends].astype(np.int32), tails)],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "words", "grams"],
                 )
                 row += rows
 
     summary = cut(docs.mapInArrow(each, SUMMARY), "summary")
-    rare = summary.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("item"), F.col("r.p").alias("p"))
-    counts_of = counted.filter(f"kind = 0 and n < {max(1.0, FREQUENT * tokens)}").select("item", "n")
-    share = F.lit((1 - spelt) / max(1, tokens)) * F.col("n")
-    mixed = F.when(F.col("n").isNull(), F.col("p") + F.lit(float(np.log10(spelt)))).otherwise(F.log10(share + spelt * F.pow(F.lit(10.0), F.col("p"))))
-    found = rare.join(counts_of, "item", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + ALPHA)).alias("gain"), F.sum(mixed).alias("rest"))
+    others = counted.filter(f"kind = 0 and n < {max(1.0, FREQUENT * tokens)}").select("item", "n")
+    found = summary.select("row", F.explode("words").alias("item")).join(others, "item", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + ALPHA)).alias("gain"))
+    grams = summary.select("row", F.explode("grams").alias("g")).select("row", "g.item", "g.tail").join(values.filter(F.col("n") < least).select("item", "p", "more"), "item")
+    rest = grams.groupBy("row").agg(F.sum(F.col("p") + F.when(F.col("more"), F.col("tail")).otherwise(0.0)).alias("rest"))
     base = F.col("logs") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(tokens + ALPHA * (types + 1)))
-    out = summary.drop("rare").join(found, "row", "left")
+    out = summary.drop("words", "grams").join(found, "row", "left").join(rest, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
 
 

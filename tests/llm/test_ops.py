@@ -233,6 +233,22 @@ def test_tree_is_a_distribution(small):
         assert abs((10.0 ** (full - part)).sum() - 1) < 2e-3
 
 
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_score_is_the_whole_trees(which, request, monkeypatch):
+    """Branches dealt to tasks and grams that are joined give what one tree of all grams gives, and nothing else does."""
+    df = request.getfixturevalue(which)
+    counted = suffixtree.counts(df.filter(f"crc32(cast(doc_id as string)) % {suffixtree.FOLDS} <> 0"))
+    total = counted.filter("kind = 1").agg(F.sum("n")).first()[0]
+    tree = suffixtree.Tree(suffixtree.gram_levels(counted, total), total)
+    rows = {d: b"".join(w + b" " for w in (t or "").translate(brute.LOWER).encode().split()) + b"\n" for d, t in pairs(df)}
+    data = np.frombuffer(b"".join(rows.values()), np.uint8)
+    want = dict(zip(rows, tree.scorer.sums(data, np.r_[0, np.cumsum([len(x) for x in rows.values()])])[:, 0], strict=True))
+    for common in (1e-7, 1e-4):
+        monkeypatch.setattr(suffixtree, "COMMON", common)
+        got = {r.doc_id: r.score for r in suffixtree.score(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 * abs(want[d]) + 1e-4 for d in want)
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_byte_bpe(which, request):
     from tokenizers import Tokenizer
