@@ -249,6 +249,17 @@ def test_score_is_the_whole_trees(which, request, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 * abs(want[d]) + 1e-4 for d in want)
 
 
+def test_rare_contexts_stay_in_a_large_tree(spark):
+    """A passage of two training documents keeps its deep contexts beside eight million other bytes."""
+    rng = random.Random(9)
+    other = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(1000))
+    passage = " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(30))
+    ids = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 10]
+    df = spark.createDataFrame([(d, passage if k < 2 else other) for k, d in enumerate(ids[:1002])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffixtree.score(df).collect()}
+    assert got[ids[0]] == got[ids[1]] > -0.8 * (len(passage) + 2)
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_byte_bpe(which, request):
     from tokenizers import Tokenizer
