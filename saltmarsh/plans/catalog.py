@@ -272,6 +272,18 @@ def similar_titles(spark, sf_dir):
     return pairs.filter("s > 0.6").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round("s", 6).alias("score"))
 
 
+_LISTINGS = "p as (select p_partkey as id, p_name as title, p_brand as state, p_retailprice as price, p_size as cash_flow, min(p_partkey) over (partition by p_name, p_brand, p_retailprice, p_size) as rep from part)"
+
+
+@_query("similar_listings", f"with {_LISTINGS}, c as (select * from p where id = rep) select rep as a, id as b, 1e0 as score, true as same from p where id > rep union all select a.id, b.id, round({_SCORE}, 6), false from c a join c b on a.state = b.state and a.id < b.id where round({_SCORE}, 6) > 0.6")
+def similar_listings(spark, sf_dir):
+    """Over all listings: members of each class of equal rows with its representative, and the representatives' links."""
+    listings = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("state"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("cash_flow"))
+    classed = listings.withColumn("rep", F.min("id").over(W.partitionBy("title", "state", "price", "cash_flow")))
+    members = classed.filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(True).alias("same"))
+    return members.union(similar.linked_listings(classed.filter("id = rep").drop("rep")).withColumn("same", F.lit(False)))
+
+
 _both("cross_broker_flag", "select l_partkey, count(distinct l_suppkey) as brokers from lineitem group by l_partkey having count(distinct l_suppkey) > 1")
 _both("pattern_cache", "select user_id as domain, max_by(event_type, event_id) as pattern, count(*) as success_count, sum(value) >= 0 as any_value, min(ts) as first_seen, max(ts) as last_used from events group by user_id")
 _both("pattern_vote", "select grp, event_type as pattern from (select grp, event_type, row_number() over (partition by grp order by n desc, event_type) as r from (select user_id % 100 as grp, event_type, count(*) as n from events group by user_id % 100, event_type) x) y where r = 1")
