@@ -288,6 +288,20 @@ _both("cross_broker_flag", "select l_partkey, count(distinct l_suppkey) as broke
 _both("pattern_cache", "select user_id as domain, max_by(event_type, event_id) as pattern, count(*) as success_count, sum(value) >= 0 as any_value, min(ts) as first_seen, max(ts) as last_used from events group by user_id")
 _both("pattern_vote", "select grp, event_type as pattern from (select grp, event_type, row_number() over (partition by grp order by n desc, event_type) as r from (select user_id % 100 as grp, event_type, count(*) as n from events group by user_id % 100, event_type) x) y where r = 1")
 
+_SEGMENT = "^[a-zA-Z]+://[^/?#]*/([^/?#]*)"
+_SEEN = f"s as (select replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), 'www.', '') as name, regexp_extract(url, '{_SEGMENT}', 1) as pattern from pages), cache as (select name, pattern, n as success_count from (select *, row_number() over (partition by name order by n desc, pattern) as r from (select name, pattern, count(*) as n from s where length(name) % 2 = 0 group by name, pattern) x) y where r = 1)"
+_NEAREST = "sims as (select a.name, b.name as other, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from g a join g b on a.name <> b.name where len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) > 0.3), ranked as (select sims.name, pattern, similarity * success_count as weight, row_number() over (partition by sims.name order by similarity desc, other) as r from sims join cache on other = cache.name), votes as (select name, pattern, round(sum(weight), 6) as score, min(r) as r from ranked where r <= 5 and (name, pattern) in (select name, pattern from s) group by name, pattern), best as (select name, pattern, row_number() over (partition by name order by score desc, r) as k from votes)"
+
+
+@_query("predict_pattern", f"with {_SEEN}, {_GRAMS}, {_NEAREST} select h.name, coalesce(cache.pattern, best.pattern) as pattern from h left join cache on h.name = cache.name left join best on h.name = best.name and k = 1")
+def predict_pattern(spark, sf_dir):
+    """Page hosts with the first segment of a path as pattern; the cache has hosts of even length, the others are predicted."""
+    seen = table(spark, sf_dir, "pages").select(P.domain(F.col("url")).alias("name"), F.regexp_extract("url", _SEGMENT, 1).alias("pattern"))
+    counted = seen.filter(F.length("name") % 2 == 0).groupBy("name", "pattern").agg(F.count("*").alias("success_count"))
+    first = F.row_number().over(W.partitionBy("name").orderBy(F.desc("success_count"), "pattern"))
+    return similar.predicted_patterns(seen, counted.withColumn("r", first).filter("r = 1").drop("r"))
+
+
 # Projections, pages, streams ----------------------------------------------------------------------------------------
 
 
