@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Largest number of rows of a side that is broadcast (rows of a few dozen bytes); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Largest side that is broadcast, by the estimated bytes of its rows, arrays and strings included; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of texts that go to a Python worker at once, where the session doesn't say otherwise.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def prepare(spark: SparkSession) -> None:
+    """What a registered query or a stage sets up: the shared folder, and batches for Python workers bounded by bytes."""
+    shared_dir(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, besides any --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,6 +54,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows are within ``limit``; otherwise Spark shuffles it."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        own = F.octet_length(value) + 16
+    elif isinstance(kind, StructType):
+        own = sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    elif isinstance(kind, ArrayType):
+        own = F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + _bytes_of(x, kind.elementType))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own.cast("long"), F.lit(8))
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if its rows take ``limit`` bytes at most; otherwise Spark shuffles it."""
+    total = df.agg(F.sum(F.lit(24) + sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(0)))).first()[0]
+    return F.broadcast(df) if (total or 0) <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

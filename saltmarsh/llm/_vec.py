@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into numpy arrays at once. A longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -22,6 +25,26 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def tidy() -> None:
+    """Give back to the machine what a task's arrays took: workers are used again by the stages after, for other work."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidied(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``each`` over a partition's batches, tidied up after when they are over."""
+
+    @functools.wraps(each)
+    def run(batches: Iterator) -> Iterator:
+        yield from each(batches)
+        tidy()
+
+    return run
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts together have about ``limit`` bytes; every row is in one of them."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -34,8 +57,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column and the rows' offsets in them; null counts as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """All bytes of a string or binary column and the rows' offsets in them; null counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)

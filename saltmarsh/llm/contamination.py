@@ -3,8 +3,10 @@
 Every document is scanned once. Short grams at strided positions, of which each window holds one, are looked up in a
 bitmap of the test items' grams (a literal of fixed size); only documents with a hit there unfold all their windows, which
 are joined as whole strings with the test windows, so no hit rests on a hash. Null and empty texts have no words and are
-clean; items without words have no window; without items every document is clean; repeated rows are judged one by one.
-Only ``doc_id``, ``text`` and ``item_id``, ``text`` are read, so further columns can't clash.
+clean; items without words have no window; without items every document is clean; repeated rows are judged one by one, and
+items that share a window (ties) all count. A very long text is one row of words until it is unfolded into windows.
+Only ``doc_id``, ``text`` and ``item_id``, ``text`` are read; further columns, of any name, pass through ``remove_documents``
+as they are. The bitmap grows with the test windows up to LONGS_MOST; beyond that it fills up, and more documents than need be unfold.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm._io import cut, sized, table
+from saltmarsh.llm._io import cut, fresh, sized, table
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
 #: Fixed pattern of the contract: a word after A-Z have been lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the bitmap, as 64-bit longs.
-BITMAP_LONGS = 1 << 14
+#: The bitmap's 64-bit longs at least and at most, and its bits for each test window.
+BITMAP_LONGS, LONGS_MOST, BITS_A_WINDOW = 1 << 14, 1 << 16, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,8 +59,13 @@ def _anchors(words: str, length: int, stride: int) -> str:
     return f"if(size({words}) < {short}, array(), transform(sequence(1, size({words}) - {short} + 1, {stride}), i -> xxhash64({length}, slice({words}, i, {short}))))"
 
 
+def longs_for(windows: int) -> int:
+    """The bitmap's size: a power of two."""
+    return min(LONGS_MOST, max(BITMAP_LONGS, 1 << (windows * BITS_A_WINDOW // 64).bit_length()))
+
+
 def bitmap(windows: DataFrame, lengths: list[int], longs: int = BITMAP_LONGS) -> str:
-    """SQL for an array of longs with a bit set for the hash of each short gram of the windows; as large for any input."""
+    """SQL for an array of longs with a bit set for the hash of each short gram of the windows."""
     grams = windows.select("len", F.split("gram", " ").alias("w"))
     hashes = reduce(DataFrame.union, (grams.filter(F.col("len") == n).select(F.explode(F.expr(_anchors("w", n, 1))).alias("h")) for n in lengths))
     bits = hashes.select(F.expr(f"pmod(shiftright(h, 6), {longs})").cast("int").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
@@ -69,21 +76,22 @@ def bitmap(windows: DataFrame, lengths: list[int], longs: int = BITMAP_LONGS) ->
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """row_id, key, doc_id, n_words, spans (array of (first, last) word positions that are hit), items for every row of ``docs``."""
     windows = test_windows(benchmark, window)
-    lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # at most ``window`` numbers
+    counted = {r.len: r.n for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
+    lengths, longs = sorted(counted), longs_for(sum(counted.values()))
     own = docs.select(F.monotonically_increasing_id().alias("row_id"), key_of().alias("key"), "doc_id", words_of(F.col("text")).alias("words"))
     own = own.withColumn("n_words", F.size("words").cast("long"))
     empty = F.expr("cast(array() as array<struct<at:int,len:int,gram:string>>)")
     if not lengths:
         return own.select("row_id", "key", "doc_id", "n_words", F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    bits = bitmap(windows, lengths)
+    bits = bitmap(windows, lengths, longs)
     unfolded = []
     for n in lengths:
-        hit = F.expr(f"exists({_anchors('words', n, anchor(n)[1])}, h -> (shiftright(get({bits}, cast(pmod(shiftright(h, 6), {BITMAP_LONGS}) as int)), cast(h & 63 as int)) & 1) = 1)")
+        hit = F.expr(f"exists({_anchors('words', n, anchor(n)[1])}, h -> (shiftright(get({bits}, cast(pmod(shiftright(h, 6), {longs}) as int)), cast(h & 63 as int)) & 1) = 1)")
         every = F.expr(f"transform(sequence(1, size(words) - {n} + 1), i -> named_struct('at', i, 'len', {n}, 'gram', array_join(slice(words, i, {n}), ' ')))")
         unfolded.append(F.when((F.col("n_words") >= n) & hit, every).otherwise(empty))
     rows = own.select("row_id", "key", "doc_id", "n_words", F.explode_outer(F.concat(*unfolded)).alias("w")).select("row_id", "key", "doc_id", "n_words", "w.at", "w.len", "w.gram")
     tests = windows.groupBy("len", "gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    tests = sized(tests, 200_000)
+    tests = sized(tests)
     hits = rows.join(tests, ["len", "gram"], "left")
     span = F.when(F.col("items").isNotNull(), F.struct(F.col("at").alias("first"), (F.col("at") + F.col("len") - 1).alias("last")))
     grouped = hits.groupBy("row_id", "key", "doc_id", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
@@ -102,7 +110,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without its contaminated rows, in the same columns."""
     bad = cut(judge(docs, benchmark, window).filter("contaminated").select("key").distinct(), "contaminated")
-    return docs.withColumn("key", key_of()).join(sized(bad), "key", "left_anti").select(docs.columns)
+    own = fresh(docs, "key")
+    return docs.withColumn(own, key_of()).join(sized(bad.withColumnRenamed("key", own)), own, "left_anti").select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

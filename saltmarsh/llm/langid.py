@@ -6,9 +6,10 @@ the context shorter by one; below the empty one all 256 bytes are alike. A text'
 sum of its bytes' under these statistics (without exclusions). The language of the shortest code is predicted.
 
 Training is a classifier's fit on a bounded sample: labelled documents, about SAMPLE of them, chosen by a hash of the id.
-Contexts of ORDER bytes count from two occurrences on. Null texts and texts without a letter are ``und`` with score 0; without
-labelled documents every text is ``und``. Ties go to the language first in order. Repeated rows are judged one by one.
-Of the documents only ``doc_id``, ``text`` and, in training, ``lang`` are read.
+Every gram of the sample counts. Null texts and texts without a letter are ``und`` with score 0; without
+labelled documents every text is ``und``. Ties go to the language first in order. Repeated rows are judged one by one; very
+long texts are scored whole. Of the documents only ``doc_id``, ``text`` and, in training, ``lang`` are read; ``keep_languages``
+gives back all columns, of any name, as they were.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import _vec
-from saltmarsh.llm._io import table
+from saltmarsh.llm._io import fresh, table
 from saltmarsh.llm._trees import Scorer
 
 ORDER, PAD = 3, 10
@@ -66,9 +67,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> tuple[li
     n = labelled.count()
     if n > sample:
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    counted = labelled.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.filter("n > 1").toPandas()  # bounded by the sample
-    return build(found)
+    counted = labelled.select("text", "lang").mapInArrow(_vec.tidied(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return build(counted.toPandas())  # at most a row for each byte of the sample
 
 
 def build(found: pd.DataFrame) -> tuple[list[str], Scorer | None]:
@@ -128,9 +128,10 @@ def predictions(langs: list[str], bits: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def predict(docs: DataFrame, langs: list[str], scorer: Scorer | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row, with lang_pred and score."""
-    fields = [f for f in docs.select(*keep).schema.fields if f.name not in ("lang_pred", "score")]
+    """The columns ``keep`` of every row, then lang_pred and score; underscores stand before these if ``keep`` has such names."""
+    fields = docs.select(*keep).schema.fields
     kept = [f.name for f in fields]
+    names = [fresh(docs.select(*keep), n) for n in ("lang_pred", "score")]
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
     schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
 
@@ -145,8 +146,8 @@ def predict(docs: DataFrame, langs: list[str], scorer: Scorer | None, keep: list
                     score = np.where(lettered, share, 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(label, pa.string()), pa.array(score, pa.float64())], [*(f"k{i}" for i in range(len(kept))), "lang_pred", "score"])
 
-    out = docs.select("text", *own).mapInArrow(each, f"{schema}, lang_pred string, score double")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "lang_pred", "score")
+    out = docs.select("text", *own).mapInArrow(_vec.tidied(each), f"{schema}, lang_pred string, score double")
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:
@@ -160,7 +161,8 @@ def keep_languages(docs: DataFrame, least: float = LEAST_SCORE, sample: int = SA
     """The rows, in their columns, whose text has a language: not ``und``, and of a score that isn't too low."""
     langs, scorer = train(docs, sample)
     found = predict(docs, langs, scorer, docs.columns)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(docs.columns)
+    label, score = found.columns[-2:]
+    return found.filter((F.col(label) != "und") & (F.col(score) >= least)).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from saltmarsh.llm import contamination, imatch, langid, minhash, secrets, substrings, suffixtree, tokenfile, triebpe, urlrank
-from saltmarsh.llm._io import shared_dir
+from saltmarsh.llm._io import prepare
 
 _QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -27,7 +27,7 @@ _QUERIES = {
 
 def _on_cluster(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared_dir(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run

@@ -116,7 +116,7 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield from out(kind, 0)
 
     held_out = F.coalesce("held_out", F.lit(False)) if "held_out" in docs.columns else F.lit(False)
-    parts = docs.select("text", held_out.alias("held_out")).mapInArrow(each, "kind int, item long, n long")
+    parts = docs.select("text", held_out.alias("held_out")).mapInArrow(_vec.tidied(each), "kind int, item long, n long")
     return parts.groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
@@ -191,7 +191,7 @@ def branches(counted: DataFrame, upper: tuple[np.ndarray, np.ndarray], grams: in
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams // GRAMS_A_TASK))
     ends = F.shiftrightunsigned("item", 8).bitwiseAND(F.lit(int(low(wide))))
-    return counted.filter("kind = 1").select("item", "n").repartition(tasks, ends).mapInArrow(each, "item long, n long, p double, more boolean, stays boolean")
+    return counted.filter("kind = 1").select("item", "n").repartition(tasks, ends).mapInArrow(_vec.tidied(each), "item long, n long, p double, more boolean, stays boolean")
 
 
 class Tree:
@@ -303,7 +303,7 @@ def score(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) -> DataFrame:
                 )
                 row += rows
 
-    summary = cut(docs.mapInArrow(each, SUMMARY), "summary")
+    summary = cut(docs.mapInArrow(_vec.tidied(each), SUMMARY), "summary")
     others = counted.filter(f"kind = 0 and n < {max(1.0, FREQUENT * tokens)}").select("item", "n")
     found = summary.select("row", F.explode("words").alias("item")).join(others, "item", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + ALPHA)).alias("gain"))
     grams = summary.select("row", F.explode("grams").alias("g")).select("row", "g.item", "g.tail").join(values.filter(F.col("n") < least).select("item", "p", "more"), "item")
