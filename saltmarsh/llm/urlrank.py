@@ -2,9 +2,13 @@
 
 Trust starts from hosts with allowed pages and flows along links; distrust starts from hosts with blocked pages and flows
 against them. Both are set against a PageRank from all hosts' pages, so that a large host needs no more than a small one.
-A host is blocked where (distrust - trust) / base exceeds a threshold. Null urls and urls without ``://`` have an empty
+Edges are links of pages to other hosts, and ties of a host to its parent domain (its last two labels) where that is a host
+itself or several hosts share it; a shared parent is a node of its own. Ranks are iterated until no host's changes by more than TOLERANCE, ROUNDS
+times at most, after which a share of DAMPING^ROUNDS (0.04 %) can be missing. A host is blocked where (distrust - trust) / base exceeds a threshold. Null urls and urls without ``://`` have an empty
 host and path, no rule, and are allowed; without any edge each host is judged by its own seeds; a table without pages
-gives no rows. Repeated rows count as pages of their own. Edges and ranks stay in DataFrames.
+gives no rows. Repeated rows count as pages of their own; of rules that tie in length none can fit the same url. Very long html is
+searched for links as a whole. Only ``page_id``, ``url`` and ``html`` are read. Edges and ranks stay in DataFrames; hosts of
+very many edges have these dealt to several tasks by a salt.
 """
 
 from __future__ import annotations
@@ -12,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm._io import cut, table
+from saltmarsh.llm._io import cut, sized, table
 
 #: Fixed rules of the contract: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, THRESHOLD, CUT_EVERY = 0.85, 12, 0.5, 4
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD, CUT_EVERY = 0.85, 48, 1e-9, 0.5, 8
+#: Edges of a host that one task takes, pages likewise.
+EDGES_A_SALT = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,8 +50,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = pages.select("host", F.explode(hrefs).alias("link")).select(F.col("host").alias("src"), host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))).alias("dst"))
     links = links.filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").filter("host != ''").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).filter("dst != ''")
-    known = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi")
+    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\..*?([^.]+\.[^.]+)$", 1).alias("dst")).filter("dst != ''")
+    shared = up.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").select("dst").union(hosts.withColumnRenamed("host", "dst"))
+    known = up.join(shared.distinct(), "dst", "left_semi")
     ties = known.select("src", "dst").union(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
     return links.union(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -62,13 +69,27 @@ def pagerank(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     sources = hosts.select("host").join(back.select(F.col("src").alias("host")).distinct(), "host", "left_anti").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
     flows = cut(forth.union(sinks).withColumn("reverse", F.lit(False)).union(back.union(sources).withColumn("reverse", F.lit(True))), "flows")
     ranks = hosts.select("*", F.col("seed_trust").alias("trust"), F.col("seed_distrust").alias("distrust"), F.col("seed_base").alias("base"))
+    salts = flows.groupBy("src").agg(F.ceil(F.count("*") / EDGES_A_SALT).alias("salts"))
+    hosts = cut(hosts.join(salts, hosts["host"] == salts["src"], "left").drop("src").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))), "hosts")
+    many = hosts.filter("salts > 1").select(F.col("host").alias("src"), "salts")
+    flows = flows.join(F.broadcast(many), "src", "left").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dst"), "salts")).otherwise(F.lit(0).cast("long"))).drop("salts")  # at most edges / EDGES_A_SALT rows
+    flows = cut(flows, "salted") if many.limit(1).count() else flows
     for k in range(rounds):
-        moved = flows.join(ranks.select(F.col("host").alias("src"), "trust", "distrust", "base"), "src")
+        copies = ranks.join(many.withColumnRenamed("src", "host"), "host", "left") if "salts" not in ranks.columns else ranks
+        copies = copies.select(F.col("host").alias("src"), "trust", "distrust", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
+        moved = flows.join(copies, ["src", "salt"])
         forward = F.col("share") * (~F.col("reverse")).cast("double")
         inflow = moved.groupBy(F.col("dst").alias("host")).agg(F.sum(forward * F.col("trust")).alias("t"), F.sum(F.col("share") * F.col("reverse").cast("double") * F.col("distrust")).alias("d"), F.sum(forward * F.col("base")).alias("b"))
-        ranks = hosts.join(inflow, "host", "left").select("host", "seed_trust", "seed_distrust", "seed_base", *((F.lit(1 - damping) * F.col(f"seed_{full}") + damping * F.coalesce(F.col(short), F.lit(0.0))).alias(full) for short, full in (("t", "trust"), ("d", "distrust"), ("b", "base"))))
-        if (k + 1) % CUT_EVERY == 0:
-            ranks = cut(ranks, "ranks")
+        seeds = [F.lit(1 - damping) * F.col(f"seed_{full}") + damping * F.coalesce(F.col(short), F.lit(0.0)) for short, full in (("t", "trust"), ("d", "distrust"), ("b", "base"))]
+        last = (k + 1) % CUT_EVERY == 0 or k + 1 == rounds
+        before = ranks.select("host", *(F.col(c).alias(f"old_{c}") for c in ("trust", "distrust", "base"))) if last else None
+        ranks = hosts.join(inflow, "host", "left").select("host", "seed_trust", "seed_distrust", "seed_base", "salts", *(x.alias(c) for x, c in zip(seeds, ("trust", "distrust", "base"), strict=True)))
+        if last:
+            ranks = cut(ranks.join(before, "host"), "ranks")
+            moved = ranks.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"old_{c}")) for c in ("trust", "distrust", "base"))))).first()[0]
+            ranks = ranks.drop("old_trust", "old_distrust", "old_base")
+            if moved is None or moved <= TOLERANCE:
+                break
     return ranks
 
 
@@ -85,7 +106,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     ranks = pagerank(hosts, edges)
     score = F.when(F.col("base") > 0, (F.col("distrust") - F.col("trust")) / F.col("base")).otherwise(0.0)
     ranks = ranks.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.round(score, 9).alias("score"))
-    judged = own.join(ranks, "host", "left")
+    judged = own.join(sized(cut(ranks, "scores")), "host", "left")
     by_rank = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_rank).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
