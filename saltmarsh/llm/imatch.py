@@ -2,10 +2,12 @@
 
 The lexicon has the terms whose document frequency lies in a band of inverse document frequencies, counted over all
 documents; as a term of it occurs in a share LEAST of them at least, it has at most (mean distinct terms) / LEAST terms at
-any input size. A subset of rate 2^-level keeps a term by a hash of the term and the subset's number. A text has SUBSETS
-hashes at each of three levels about that at which a subset keeps about one of its terms, so long and short texts both get
-hashes that an edit may leave as they are. The likeness of two fingerprints is the share of equal hashes among subsets that
-aren't empty for both, at the higher of both texts' own levels.
+any input size. The lexicon subsets are fixed: SUBSETS of each rate 2^-level, one has a term by a hash of the term and the subset's
+number, whatever text it stands in. A text's hash under a subset is that of the sequence of its sorted distinct terms that the subset has.
+Of all rates a fingerprint has the three about that at which a subset has one of the text's terms: lower rates are empty
+for it, and higher ones change with any edit; so long and short texts both get hashes that an edit may leave as they are.
+The likeness of two fingerprints is the share of equal hashes among subsets that aren't empty for both, at the higher of both
+texts' own levels.
 
 Texts whose terms all lie outside the band are fingerprinted by the set of all their terms; texts without a word (null ones
 too) by ``-``. The next document is by ascending doc_id (rows without an id first, equal ids by text), after the last the
@@ -30,7 +32,8 @@ from saltmarsh.llm._io import table
 LEAST, MOST = 3e-4, 3e-2
 #: In small tables a term occurs in so many documents at least.
 LEAST_DOCS = 2
-SUBSETS, DIGITS, LEVELS = 40, 4, 3
+#: Subsets at each rate, rates that a text is fingerprinted at, hexadecimal digits of a code.
+SUBSETS, LEVELS, DIGITS = 40, 3, 8
 _SALT = _vec.mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
 
 
@@ -54,7 +57,7 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
         yield from out(0)
 
     total = docs.count()
-    counted = docs.select("text").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_vec.tidied(each), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = counted.filter((F.col("n") >= max(LEAST_DOCS, least * total)) & (F.col("n") <= max(LEAST_DOCS, most * total))).select("term").toPandas()
     return np.sort(found["term"].to_numpy(np.int64).view(np.uint64))
 
@@ -64,20 +67,33 @@ def level_of(terms: int) -> int:
     return terms.bit_length()
 
 
+def subset_hashes(terms: np.ndarray, level: int) -> np.ndarray:
+    """For each lexicon subset of rate 2^-level the hash of those of the sorted distinct ``terms`` that it has; 0 if it has none.
+
+    The hash is a polynomial of the sequence: the k-th term counts with the k-th power of a constant.
+    """
+    kept = _vec.mix(terms[:, None] ^ _SALT)
+    inside = (kept >> np.uint64(64 - level)) == 0 if level else np.ones(kept.shape, bool)
+    place = np.cumsum(inside, axis=0)
+    values = _vec.mix(terms + _POWERS[1])[:, None] * np.take(_powers_upto(len(terms)), place)
+    sums = np.where(inside, values, np.uint64(0)).sum(axis=0, dtype=np.uint64)
+    return np.where(place[-1] > 0, 1 + (_vec.mix(sums) % np.uint64(16**DIGITS - 1)).astype(np.int64), 0)
+
+
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(4096, 0x9E3779B97F4A7C15, np.uint64)])
+
+
+def _powers_upto(n: int) -> np.ndarray:
+    return _POWERS if n < len(_POWERS) else np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _POWERS[1], np.uint64)])
+
+
 def fingerprint(terms: np.ndarray, words: np.ndarray) -> str:
     """Of sorted distinct terms of the lexicon; of all sorted distinct words if there are none."""
     if not len(terms):
         return f"w{int(_vec.mix(words).sum(dtype=np.uint64)):016x}" if len(words) else "-"
     own = level_of(len(terms))
-    kept = _vec.mix(terms[:, None] ^ _SALT)
-    values = _vec.mix(kept ^ np.uint64(0x5851F42D4C957F2D))
-    out = []
-    for level in range(max(0, own - 1), own + LEVELS - 1):
-        inside = (kept >> np.uint64(64 - level)) == 0 if level else np.ones(kept.shape, bool)
-        sums = np.where(inside, values, np.uint64(0)).sum(axis=0, dtype=np.uint64)
-        codes = np.where(inside.any(axis=0), 1 + (_vec.mix(sums) % np.uint64(16**DIGITS - 1)).astype(np.int64), 0)
-        out.append(f"{level:02d}" + codes.astype(">u2").tobytes().hex())
-    return f"{own:02d}|" + "|".join(out)
+    levels = range(max(0, own - 1), own + LEVELS - 1)
+    return f"{own:02d}|" + "|".join(f"{level:02d}" + subset_hashes(terms, level).astype(">u4").tobytes().hex() for level in levels)
 
 
 def likeness(a: str, b: str) -> float:
@@ -89,7 +105,7 @@ def likeness(a: str, b: str) -> float:
     x, y = (next((p[2:] for p in f.split("|")[1:] if p[:2] == level), None) for f in (a, b))
     if x is None or y is None:
         return 0.0
-    x, y = np.frombuffer(bytes.fromhex(x), ">u2"), np.frombuffer(bytes.fromhex(y), ">u2")
+    x, y = np.frombuffer(bytes.fromhex(x), ">u4"), np.frombuffer(bytes.fromhex(y), ">u4")
     some = (x > 0) | (y > 0)
     return float(((x == y) & some).sum() / some.sum()) if some.any() else 0.0
 
@@ -112,12 +128,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     at = ordered.bounds(docs)
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", ordered.bucket(at)).withColumn("at", F.coalesce("doc_id", F.lit(ordered.NO_ID)))
     firsts = own.groupBy("bucket").agg(F.min("at").alias("at")).orderBy("bucket").collect()  # a row per bucket
-    before = {r.at: firsts[k - 1].bucket for k, r in enumerate(firsts)}
-    heads = own.filter(F.col("at").isin(list(before))).groupBy("at").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id")) if before else own.limit(0)
-    to = F.coalesce(*(F.when(F.col("at") == k, v) for k, v in before.items())) if before else F.lit(0)
-    ghosts = heads.select("doc_id", "text", to.cast("int").alias("bucket"), F.lit(1).alias("ghost"))
+    before = docs.sparkSession.createDataFrame([(r.at, firsts[k - 1].bucket) for k, r in enumerate(firsts)], "at long, to int")
+    heads = own.join(F.broadcast(before), "at").groupBy("at", "to").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
+    ghosts = heads.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
     rows = own.select("doc_id", "text", F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("ghost")).union(ghosts)
-    return rows.repartitionByRange(max(2, len(at) + 1), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartitionById(max(2, len(at) + 1), F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def compare(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
@@ -151,7 +166,7 @@ def compare(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFr
                 if len(rows) > 1:
                     yield from out(rows)
 
-    return neighbours(docs).mapInArrow(each, SCHEMA)
+    return neighbours(docs).mapInArrow(_vec.tidied(each), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

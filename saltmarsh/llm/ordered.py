@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stands before every id: rows without one come first.
@@ -17,8 +17,14 @@ def bounds(docs: DataFrame, parts: int | None = None) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def bucket(at: list[int]):
-    """Column: how many bounds are not above the row's id; 0 for no id."""
+def bucket(at: list[int]) -> Column:
+    """How many bounds are not above the row's id; 0 for no id. Looked up in two steps, so in about 2 * sqrt(bounds) comparisons."""
     if not at:
         return F.lit(0)
-    return F.expr(f"size(filter(array({','.join(f'{x}L' for x in at)}), b -> b <= coalesce(cast(doc_id as bigint), {NO_ID + 1}L)))")
+    own = f"coalesce(cast(doc_id as bigint), {NO_ID + 1}L)"
+    array = lambda numbers: f"array({','.join(f'{x}L' for x in numbers)})"
+    width = max(1, int(len(at) ** 0.5))
+    parts = [at[k : k + width] for k in range(0, len(at), width)]
+    part = f"size(filter({array([p[0] for p in parts])}, b -> b <= {own}))"
+    inside = f"size(filter(element_at(array({','.join(map(array, parts))}), {part}), b -> b <= {own}))"
+    return F.expr(f"case when {own} < {at[0]}L then 0 else ({part} - 1) * {width} + {inside} end")
