@@ -136,7 +136,7 @@ def frames(docs: DataFrame, path: str, dictionary: bytes, at: list[int]) -> Data
                 yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("doc_id"), part.column("tie"), pa.array([len(r) // width for r in raw], pa.int64()), pa.array([zip_.compress(r) for r in raw], pa.binary())], ["bucket", "doc_id", "tie", "n", "frame"])
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).withColumn("bucket", ordered.bucket(at))
-    return dealt.mapInArrow(each, "bucket int, doc_id long, tie long, n long, frame binary")
+    return dealt.mapInArrow(_vec.tidied(each), "bucket int, doc_id long, tie long, n long, frame binary")
 
 
 SHARDS = "bucket int, part int, first long, dictionary string, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
@@ -170,7 +170,7 @@ def shards(rows: DataFrame, name: str, limit: int = SHARD) -> DataFrame:
         if ids:
             yield record()
 
-    return rows.mapInArrow(each, SHARDS)
+    return rows.mapInArrow(_vec.tidied(each), SHARDS)
 
 
 def write(docs: DataFrame, path: str, to: str) -> None:
@@ -179,15 +179,38 @@ def write(docs: DataFrame, path: str, to: str) -> None:
     at = ordered.bounds(docs)
     rows = frames(docs, path, dictionary, at)
     parts = max(2, len(at) + 1)
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = rows.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
     name = hashlib.sha256(dictionary).hexdigest()
     docs.sparkSession.createDataFrame([(name, bytearray(dictionary))], "dictionary string, bytes binary").write.parquet(f"{to}/dictionary")
     shards(dealt.drop("tie"), name).write.option("compression", "uncompressed").parquet(f"{to}/shards")
 
 
+def dictionaries_of(spark: SparkSession, to: str) -> dict[str, bytes]:
+    """The file set's dictionary by its hash, which is computed anew and must be the one in its name."""
+    found = {r.dictionary: bytes(r.bytes) for r in spark.read.parquet(f"{to}/dictionary").collect()}  # one of bounded size
+    for name, raw in found.items():
+        if hashlib.sha256(raw).hexdigest() != name:
+            raise ValueError(f"the dictionary in {to} isn't the one its documents were compressed with")
+    return found
+
+
+def read_document(spark: SparkSession, to: str, doc_id: int, width: str = "<u2") -> list[list[int]]:
+    """The ids of one document (a list for each row of that id): only its shard records are read, and only its frame is decompressed."""
+    dictionaries = dictionaries_of(spark, to)
+    held = spark.read.parquet(f"{to}/shards").filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    at = F.filter(F.transform("doc_ids", lambda d, i: F.when(d == doc_id, i)), lambda i: i.isNotNull())
+    frame = lambda i: F.expr("payload").substr(F.element_at("offsets", i + 1).cast("int") + 1, (F.element_at("offsets", i + 2) - F.element_at("offsets", i + 1)).cast("int"))
+    out = []
+    for r in held.select("bucket", "part", "dictionary", F.transform(at, frame).alias("frames")).orderBy("bucket", "part").collect():
+        shared = zstandard.ZstdCompressionDict(dictionaries[r.dictionary]) if dictionaries[r.dictionary] else None
+        unzip = zstandard.ZstdDecompressor(dict_data=shared) if shared else zstandard.ZstdDecompressor()
+        out += [np.frombuffer(unzip.decompress(bytes(f)), width).tolist() for f in r.frames]
+    return out
+
+
 def read(spark: SparkSession, to: str, width: str = "<u2") -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian of 32 bits) of every document of a file set."""
-    dictionaries = {r.dictionary: bytes(r.bytes) for r in spark.read.parquet(f"{to}/dictionary").collect()}  # one of bounded size
+    dictionaries = dictionaries_of(spark, to)
     found = spark.read.parquet(f"{to}/shards")
     totals = found.groupBy("bucket").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n")).orderBy("bucket").collect()  # a row per bucket
     begin, upto = {}, 0
@@ -204,7 +227,7 @@ def read(spark: SparkSession, to: str, width: str = "<u2") -> DataFrame:
                     raw = [np.frombuffer(unzip.decompress(view[a:b]), width).astype("<u4").tobytes() for a, b in zip(offsets[k : k + 200], offsets[k + 1 : k + 201], strict=False)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 200], pa.int64()), pa.array(starts[k : k + 200], pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    return found.mapInArrow(each, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return found.mapInArrow(_vec.tidied(each), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def vocabulary() -> str:
