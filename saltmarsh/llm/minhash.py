@@ -9,7 +9,9 @@ by a hash. Buckets that after these rounds still hold more than one component ar
 54 bands of 6 a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^54 = 7e-8.
 
 Null and empty texts have an empty set, link with nothing and are kept. Texts of fewer words than a shingle are one
-shingle. Rows without an id link with nothing. Rows that repeat an id count as one node. Other columns aren't read.
+shingle; very long texts are one set as all others. Rows without an id link with nothing. Rows that repeat an id count as one node;
+of texts that tie as copies the smallest id is kept. Other columns aren't read, and ``keep_one`` gives them back as they were.
+Large buckets are dealt to several tasks by a salt, their leaders copied to each.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 4, 80, 54, 6
 ROUNDS = 2
 #: Longs of a document's bit sketch; the sketches bound how many shingles two sets can share.
 SKETCH = 16
-#: Pairs for one copy of a leader's set when pairs are brought together with it.
-PAIRS_A_SALT = 1000
+#: Pairs for one copy of a leader's set when pairs are brought together with it, and members of a bucket that one task takes.
+PAIRS_A_SALT, BUCKET = 1000, 500
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -99,7 +101,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
                     ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, set_hash long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_vec.tidied(each), "doc_id long, n_shingles long, set_hash long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -113,7 +115,7 @@ def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 values = _vec.signed(np.concatenate([np.zeros(0, np.uint64), *sets]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_vec.tidied(each), "doc_id long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     classes = cut(full.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("rep")), "classes")
     heads = full.join(classes.select("n_shingles", "set_hash", F.col("rep").alias("doc_id")), ["n_shingles", "set_hash", "doc_id"], "left_semi")
     entries = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = cut(entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least != most").select("bucket"), "buckets")
+    shared = cut(entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).filter("least != most").select("bucket", "size"), "buckets")
     members = cut(entries.join(sized(shared), "bucket").distinct(), "members")
     stars = docs.sparkSession.createDataFrame([], "a long, b long")
     if members.limit(1).count():
@@ -165,8 +167,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
             left = still_mixed(left, stars)
         sketches = signed.filter("doc_id is not null").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id", "n_shingles"])
         left = cut(left.join(sketches, ["doc_id", "n_shingles"]), "left")
-        x, y = left.alias("x"), left.alias("y")
-        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_link(similarity))
+        x, y = salted(left).alias("x"), copied(left).alias("y")
+        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & may_link(similarity))
         pairs = cut(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
         stars = components(stars.union(verified(pairs, sets, similarity)))
     roots = classes.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("n_shingles", "set_hash", F.coalesce("root", "rep").alias("root"))
@@ -185,20 +187,29 @@ def meet_leaders(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame]
     if number:
         ranked = members.withColumn("degree", F.xxhash64("bucket", "doc_id"))
     else:
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-        ranked = members.join(members.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("degree")), "doc_id")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "n_shingles", "root")).alias("leader"))
-    both = cut(members.join(leaders, "bucket").filter("doc_id != leader.doc_id"), "led")
+        ranked = members.join(members.groupBy("doc_id").agg(F.sum("size").alias("degree")), "doc_id")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "n_shingles", "root")).alias("leader"), F.max("size").alias("size"))
+    both = cut(salted(members).join(copied(leaders).drop("size"), ["bucket", "salt"]).drop("salt").filter("doc_id != leader.doc_id"), "led")
     other = both.filter("root != leader.root")
     led = other.select(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("leader.n_shingles").alias("m")).distinct()
-    return led, both.select("bucket", "doc_id", "n_shingles")
+    return led, both.select("bucket", "size", "doc_id", "n_shingles")
+
+
+def salted(members: DataFrame) -> DataFrame:
+    """Members with one of their bucket's salts, by their ids: large buckets are dealt to several tasks."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BUCKET)))
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """Rows once for each salt of their bucket."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BUCKET) - 1)))
 
 
 def still_mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
     """The members, with their components' roots, of buckets that hold more than one component."""
     rooted = members.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s").select("bucket")
-    return cut(rooted.join(mixed, "bucket", "left_semi"), "mixed")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("size").alias("size")).filter("r != s").select("bucket", "size")
+    return cut(salted(rooted).join(copied(mixed).drop("size"), ["bucket", "salt"], "left_semi").drop("salt"), "mixed")
 
 
 def may_link(similarity: int):
