@@ -48,7 +48,8 @@ def max_price_text(text: Column) -> Column:
 def first_above(text: Column, patterns: tuple[str, ...], least: float) -> Column:
     """The first pattern's first amount that is above ``least``; else the next pattern's."""
     low = F.lower(text)
-    values = [number(F.replace(F.regexp_extract(low, p, 1), F.lit(","), F.lit(""))) for p in patterns]
+    word = lambda p: p.split("[", 1)[0]  # noqa: E731  what a pattern begins with: a plain search for it comes first
+    values = [F.when(low.contains(word(p)), number(F.replace(F.regexp_extract(low, p, 1), F.lit(","), F.lit("")))) for p in patterns]
     return F.coalesce(*(F.when(v > least, v) for v in values))
 
 
