@@ -1,8 +1,14 @@
 """Parquet tables, and the listing views that are derived from them inside each query."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from saltmarsh.functions import places
+from saltmarsh.functions.classify import is_business
+from saltmarsh.functions.money import scaled_money
+from saltmarsh.functions.shown import resolved
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
@@ -61,3 +67,64 @@ def run_listings(spark: SparkSession, path: str) -> DataFrame:
     run = spark.read.option("multiLine", True).json(path)
     brokers = run.select("run_id", F.explode("brokers").alias("b")).filter("b.status = 'success'")
     return brokers.select("run_id", "b.broker_id", "b.broker_name", F.explode("b.listings").alias("listing")).select("run_id", "broker_id", "broker_name", "listing.*")
+
+
+def plain_brokers_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Brokers (id, name, url, expected_listings) by the shorter list of url columns; the row's number stands in for an id."""
+    raw = spark.read.option("header", True).csv(path)
+    url = next((c for c in ("listings_url", "active lisitng url", "url", "companyurl") if c in raw.columns), None)
+    if url is None:
+        raise ValueError(f"no url column among {raw.columns}")
+    count = F.col("activeListingsCount").try_cast("double") if "activeListingsCount" in raw.columns else F.lit(None).cast("double")
+    name = next((F.col(c) for c in ("companyname", "broker_name", "name") if c in raw.columns), F.lit(None))
+    own = F.col("account") if "account" in raw.columns else F.monotonically_increasing_id()
+    out = raw.select(own.cast("string").alias("id"), F.coalesce(name.cast("string"), F.lit("Unknown")).alias("name"), F.col(f"`{url}`").alias("url"), count.cast("bigint").alias("expected_listings"))
+    out = out.filter("url is not null and url != ''").orderBy(F.desc_nulls_last("expected_listings"), "id")
+    return out.limit(limit) if limit else out
+
+
+def stored_brokers(brokers: DataFrame, limit: int | None = None) -> DataFrame:
+    """account, name, url of a stored table's brokers that have both an account and a url, best score first. The limit always binds."""
+    out = brokers.filter("url is not null and url != '' and account is not null").orderBy(F.desc_nulls_last("leaderboard_score"), "account").select("account", "name", "url")
+    return out.limit(limit) if limit else out
+
+
+def json_listings(spark: SparkSession, path: str) -> DataFrame:
+    """Listings of a JSON document: of its ``listings``, of a bare array, or of one object."""
+    found = spark.read.option("multiLine", True).json(path)
+    return found.select(F.explode("listings").alias("listing")).select("listing.*") if "listings" in found.columns else found
+
+
+def pattern_cache(spark: SparkSession, path: str) -> DataFrame:
+    """name, pattern, success_count, total_listings, first_seen, last_used from a JSON map of domains; unreadable text gives no rows."""
+    entry = "map<string, struct<pattern: string, success_count: bigint, total_listings: bigint, first_seen: string, last_used: string>>"
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", entry))).select(F.col("key").alias("name"), "value.*")
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank, without the header."""
+    return spark.read.text(path).filter(F.trim("value") != "").agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("brokers"))
+
+
+def listing_links(pages: DataFrame, mark: str = "/buy-a-business/") -> DataFrame:
+    """Distinct urls that stored pages (url, html) link to and that have ``mark`` in their link."""
+    links = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)"""), F.lit(1))
+    found = pages.select("url", F.explode(links).alias("link")).filter(F.col("link").contains(mark))
+    return found.select(resolved("url", "link").alias("url")).distinct()
+
+
+def downloaded_listings(spark: SparkSession, path: str, url: str) -> DataFrame:
+    """Listings of a downloaded CSV whose columns go by any names: title, price, place are the first value of those columns whose
+    names hold certain words. Rows that aren't businesses are dropped."""
+    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+    named = lambda *words: [F.col(f"`{c}`") for c in raw.columns if any(w in c.lower() for w in words)]
+    first = lambda columns: F.coalesce(*columns, F.lit(None).cast("string"))
+    rows = raw.withColumn("_row", F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1)  # one file: its order is its rows' number
+    text = F.concat_ws(" | ", *(F.concat(F.lit(f"{c}: "), F.col(f"`{c}`")) for c in raw.columns))
+    title, price, at = first(named("name", "title", "business", "description")), first(named("price", "asking", "value")), first(named("location", "city", "state", "area"))
+    out = rows.select(
+        places.or_else(title, F.concat(F.lit("Business Listing "), (F.col("_row") + 1).cast("string"))).alias("title"), scaled_money(price).alias("price"), price.alias("price_text"), at.alias("location"), places.city(at).alias("city"),
+        places.state(at).alias("state"), F.left(text, F.lit(500)).alias("description"), F.concat(F.lit(f"{url}#row"), F.col("_row").cast("string")).alias("url"), text.alias("text"),
+    )
+    return out.filter(is_business(F.lower("text")))
