@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import classify as C
 from saltmarsh.functions import money as M
 from saltmarsh.functions import places as P
-from saltmarsh.operators import html, similar
+from saltmarsh.operators import html, rules, similar, stats
+from saltmarsh.plans import listings
 from saltmarsh.sources import sinks
 from saltmarsh.sources.tables import OBSERVATIONS_SQL, TABLES, observations, table
 from saltmarsh.streaming import ledger
@@ -156,8 +157,10 @@ def _titled(spark, sf_dir):
 
 @_query("vertical_first_match", f"{_DOCS} select doc_id, {_case(C.FIRST_MATCH, 'other')} as plain, {_case(C.RICH, 'other')} as rich, {_case(C.SHORT, 'other')} as short, {_case(C.BUSINESS, None)} as business, {_case(C.BUSINESS_SECOND, None)} as business_second from t")
 def vertical_first_match(spark, sf_dir):
-    t = F.col("text")
-    return _titled(spark, sf_dir).select("doc_id", C.first_match(t, C.FIRST_MATCH, "other").alias("plain"), C.first_match(t, C.RICH, "other").alias("rich"), C.first_match(t, C.SHORT, "other").alias("short"), C.first_match(t, C.BUSINESS, None).alias("business"), C.first_match(t, C.BUSINESS_SECOND, None).alias("business_second"))
+    low = F.col("low")
+    found = {"plain": C.FIRST_MATCH, "rich": C.RICH, "short": C.SHORT, "business": C.BUSINESS, "business_second": C.BUSINESS_SECOND}
+    titled = _titled(spark, sf_dir).select("doc_id", F.lower("text").alias("low"))
+    return titled.select("doc_id", *(C.first_class(low, words, None if name.startswith("business") else "other").alias(name) for name, words in found.items()))
 
 
 _SCORES = ", ".join(f"struct_pack(n := {' + '.join(f'cast(contains(low, {chr(39)}{w}{chr(39)}) as int)' for w in words)}, k := {-k}, name := '{name}')" for k, (name, words) in enumerate(C.SCORED.items()))
@@ -214,36 +217,108 @@ def upsert_last_wins(spark, sf_dir):
     return both.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-_both("seen_anti_join", "select distinct l_partkey, l_suppkey from lineitem l where l_linenumber > 1 and not exists (select 1 from lineitem s where s.l_linenumber = 1 and s.l_partkey = l.l_partkey and s.l_suppkey = l.l_suppkey)")
+@_query("seen_anti_join", "select distinct l_partkey, l_suppkey from lineitem l where l_linenumber > 1 and not exists (select 1 from lineitem s where s.l_linenumber = 1 and s.l_partkey = l.l_partkey and s.l_suppkey = l.l_suppkey)")
+def seen_anti_join(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+    return stats.unseen(item.filter("l_linenumber > 1"), item.filter("l_linenumber = 1"), "l_partkey", "l_suppkey")
+
+
 _both("within_broker_dedup", "select l_suppkey, l_partkey, min_by(l_orderkey, seq) as oldest, count(distinct l_orderkey) as aliases from (select l_suppkey, l_partkey, l_orderkey, l_orderkey * 10 + l_linenumber as seq from lineitem) x group by l_suppkey, l_partkey")
 _both("union_intersect_except", "select 'both' as kind, count(*) as n from (select l_partkey from lineitem where l_discount > 0.05 intersect select l_partkey from lineitem where l_tax > 0.04) x union all select 'only', count(*) from (select l_partkey from lineitem where l_discount > 0.05 except select l_partkey from lineitem where l_tax > 0.04) y union all select 'bag', count(*) from (select l_partkey from lineitem where l_discount > 0.05 union all select l_partkey from lineitem where l_tax > 0.04) z")
 
 # Statistics and exploring -------------------------------------------------------------------------------------------
 
 _SNAP = "select o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus, c_mktsegment, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
-_both("snapshot_stats", f"select count(*) as listings, count(o_totalprice) as with_price, count(distinct o_custkey) as brokers, count(distinct n_name) as states, round(median(o_totalprice), 4) as median_price, round(avg(o_totalprice), 4) as mean_price, min(o_totalprice) as min_price, max(o_totalprice) as max_price from ({_SNAP}) s")
-_both("top_states", f"select n_name, count(*) as n from ({_SNAP}) s group by n_name order by n desc, n_name limit 10")
-_both("top_types", f"select c_mktsegment, count(*) as n from ({_SNAP}) s group by c_mktsegment order by n desc, c_mktsegment limit 10")
-_both("coverage_truthy", "select l_suppkey, cast(sum(case when coalesce(l_discount, 0) <> 0 then 1 else 0 end) as bigint) as with_discount, count(l_discount) as known_discount, cast(sum(case when coalesce(l_tax, 0) <> 0 or coalesce(l_discount, 0) <> 0 then 1 else 0 end) as bigint) as with_financials from lineitem group by l_suppkey")
+
+
+def _snapshot(spark, sf_dir) -> DataFrame:
+    customer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    return table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+
+
+@_query("snapshot_stats", f"select count(*) as listings, count(o_totalprice) as with_price, count(distinct o_custkey) as brokers, count(distinct n_name) as states, round(median(o_totalprice), 4) as median_price, round(avg(o_totalprice), 4) as mean_price, min(o_totalprice) as min_price, max(o_totalprice) as max_price from ({_SNAP}) s")
+def snapshot_stats(spark, sf_dir):
+    found = stats.snapshot_stats(_snapshot(spark, sf_dir), "o_totalprice", "o_custkey", "n_name")
+    return found.withColumns({c: F.round(c, 4) for c in ("median_price", "mean_price")})
+
+
+@_query("top_states", f"select n_name, count(*) as n from ({_SNAP}) s group by n_name order by n desc, n_name limit 10")
+def top_states(spark, sf_dir):
+    return stats.top(_snapshot(spark, sf_dir), "n_name")
+
+
+@_query("top_types", f"select c_mktsegment, count(*) as n from ({_SNAP}) s group by c_mktsegment order by n desc, c_mktsegment limit 10")
+def top_types(spark, sf_dir):
+    return stats.top(_snapshot(spark, sf_dir), "c_mktsegment")
+
+
+@_query("coverage_truthy", "select l_suppkey, cast(sum(case when coalesce(l_discount, 0) <> 0 then 1 else 0 end) as bigint) as with_discount, count(l_discount) as known_discount, cast(sum(case when coalesce(l_tax, 0) <> 0 or coalesce(l_discount, 0) <> 0 then 1 else 0 end) as bigint) as with_financials from lineitem group by l_suppkey")
+def coverage_truthy(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_discount", "l_tax")
+    either = F.count_if((F.coalesce("l_tax", F.lit(0)) != 0) | (F.coalesce("l_discount", F.lit(0)) != 0))
+    return item.groupBy("l_suppkey").agg(stats.truthy("l_discount").alias("with_discount"), F.count("l_discount").alias("known_discount"), either.alias("with_financials"))
+
+
 _both("broker_rollup", "select l_suppkey as broker_id, s_name, count(distinct l_partkey) as total_observed, cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as bigint) as active, min(l_shipdate) as first_seen, max(l_shipdate) as last_seen from lineitem join supplier on l_suppkey = s_suppkey group by l_suppkey, s_name having count(distinct l_partkey) >= 5")
 _both("brokers_top_n", "select s_suppkey, s_name, s_acctbal from supplier order by s_acctbal desc, s_suppkey limit 20")
 _both("specialized_route", "select s_suppkey, case when contains(lower(s_name), '1') then 'first' when contains(lower(s_name), '2') then 'second' when contains(lower(s_name), '3') then 'third' else 'generic' end as route from supplier")
 _both("explorer_page", f"select o_orderkey, o_totalprice, n_name, c_mktsegment, o_orderdate from ({_SNAP}) s where n_name = 'FRANCE' and c_mktsegment = 'BUILDING' order by o_orderdate, o_orderkey limit 50 offset 50")
-_both("explorer_facets", f"select distinct n_name as state, c_mktsegment as business_type from ({_SNAP}) s")
-_both("explorer_header", f"select count(*) as total, count(distinct o_custkey) as brokers, count(distinct n_name) as states, max(o_orderdate) as latest from ({_SNAP}) s")
+
+
+@_query("explorer_facets", f"select distinct n_name as state, c_mktsegment as business_type from ({_SNAP}) s")
+def explorer_facets(spark, sf_dir):
+    return stats.facets(_snapshot(spark, sf_dir), "n_name", "c_mktsegment").toDF("state", "business_type")
+
+
+@_query("explorer_header", f"select count(*) as total, count(distinct o_custkey) as brokers, count(distinct n_name) as states, max(o_orderdate) as latest from ({_SNAP}) s")
+def explorer_header(spark, sf_dir):
+    return stats.header(_snapshot(spark, sf_dir), "o_custkey", "n_name", "o_orderdate")
+
+
 _both("explorer_feed", "select o_orderkey as id, coalesce(nullif(o_totalprice, 0), 0) as price, coalesce(nullif(o_orderstatus, ''), 'active') as status, cast(o_orderdate as date) as scraped_on from orders")
 
 # The ledger ---------------------------------------------------------------------------------------------------------
 
 _O = "partition by o_custkey order by o_orderdate, o_orderkey"
-_both("price_history", f"select o_custkey as listing_id, o_orderkey, prev as old_price, o_totalprice as new_price, round(100 * (o_totalprice - prev) / prev, 4) as pct from (select *, lag(o_totalprice) over ({_O}) as prev from orders) x where prev is not null and prev <> o_totalprice")
+
+
+@_query("price_history", f"select o_custkey as listing_id, o_orderkey, prev as old_price, o_totalprice as new_price, round(100 * (o_totalprice - prev) / prev, 4) as pct from (select *, lag(o_totalprice) over ({_O}) as prev from orders) x where prev is not null and prev <> o_totalprice")
+def price_history(spark, sf_dir):
+    found = rules.price_changes(table(spark, sf_dir, "orders"), "o_custkey", ("o_orderdate", "o_orderkey"), "o_totalprice")
+    return found.select(F.col("o_custkey").alias("listing_id"), "o_orderkey", "old_price", "new_price", "pct")
+
+
 _both("status_transitions", f"select prev as from_status, o_orderstatus as to_status, count(*) as n, prev <> 'F' as legal from (select *, lag(o_orderstatus) over ({_O}) as prev from orders) x where prev is not null and prev <> o_orderstatus group by prev, o_orderstatus")
-_both("first_last_seen", "select o_custkey as listing_id, min(o_orderdate) as first_seen, max(o_orderdate) as last_seen, count(*) as n from orders group by o_custkey")
+
+
+@_query("first_last_seen", "select o_custkey as listing_id, min(o_orderdate) as first_seen, max(o_orderdate) as last_seen, count(*) as n from orders group by o_custkey")
+def first_last_seen(spark, sf_dir):
+    return stats.seen_span(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").withColumnRenamed("o_custkey", "listing_id")
+
+
 _both("price_drop_50", f"select o_custkey as listing_id, o_orderkey, o_totalprice < 0.5 * top as dropped from (select *, max(o_totalprice) over ({_O} rows between unbounded preceding and 1 preceding) as top from orders) x where top is not null")
 _both("stale_90", "select o_custkey as listing_id, max(o_orderdate) as last_change, cast(max(o_orderdate) as date) < date '1998-05-01' as stale from orders group by o_custkey")
-_both("relist", f"select o_custkey as listing_id, o_orderkey, cast(m - prev as bigint) as gap from (select *, lag(m) over (partition by o_custkey order by m, o_orderkey) as prev from (select o_custkey, o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) as m from orders) y) x where m - prev > 1")
-_both("snapshot_diff", "select coalesce(a.k, b.k) as listing_id, case when a.k is null then 'added' when b.k is null then 'removed' when a.p <> b.p then 'changed' else 'same' end as change from (select o_custkey as k, max(o_totalprice) as p from orders where year(o_orderdate) = 1996 group by o_custkey) a full outer join (select o_custkey as k, max(o_totalprice) as p from orders where year(o_orderdate) = 1997 group by o_custkey) b on a.k = b.k")
-_both("history_rows", f"select o_custkey as listing_id, o_orderkey, field, old_value, new_value from (select o_custkey, o_orderkey, 'status' as field, lag(o_orderstatus) over ({_O}) as old_value, o_orderstatus as new_value from orders union all select o_custkey, o_orderkey, 'priority', lag(o_orderpriority) over ({_O}), o_orderpriority from orders) x where old_value is not null and old_value <> new_value")
+
+
+@_query("relist", f"select o_custkey as listing_id, o_orderkey, cast(m - prev as bigint) as gap from (select *, lag(m) over (partition by o_custkey order by m, o_orderkey) as prev from (select o_custkey, o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) as m from orders) y) x where m - prev > 1")
+def relist(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "listing_id")
+    return stats.gaps(orders, "listing_id", ("o_orderkey",), F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+
+
+@_query("snapshot_diff", "select coalesce(a.k, b.k) as listing_id, case when a.k is null then 'added' when b.k is null then 'removed' when a.p <> b.p then 'changed' else 'same' end as change from (select o_custkey as k, max(o_totalprice) as p from orders where year(o_orderdate) = 1996 group by o_custkey) a full outer join (select o_custkey as k, max(o_totalprice) as p from orders where year(o_orderdate) = 1997 group by o_custkey) b on a.k = b.k")
+def snapshot_diff(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("listing_id"), "o_totalprice", F.year("o_orderdate").alias("y"))
+    old, new = (orders.filter(F.col("y") == y).groupBy("listing_id").agg(F.max("o_totalprice").alias("p")) for y in (1996, 1997))
+    return stats.diff(old, new, "listing_id", "p")
+
+
+@_query("history_rows", f"select o_custkey as listing_id, o_orderkey, field, old_value, new_value from (select o_custkey, o_orderkey, 'status' as field, lag(o_orderstatus) over ({_O}) as old_value, o_orderstatus as new_value from orders union all select o_custkey, o_orderkey, 'priority', lag(o_orderpriority) over ({_O}), o_orderpriority from orders) x where old_value is not null and old_value <> new_value")
+def history_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "listing_id")
+    return stats.history(orders, "listing_id", ("o_orderdate", "o_orderkey"), {"status": "o_orderstatus", "priority": "o_orderpriority"}).drop("o_orderdate")
+
+
 _both("confidence", "select o_orderkey, round((case when o_orderstatus <> 'P' then 30 else 0 end + case when o_totalprice > 0 then 15 else 0 end + case when c_nationkey is not null then 15 else 0 end + case when c_acctbal > 0 then 20 else 0 end + case when c_mktsegment = 'BUILDING' then 10 else 0 end + case when year(o_orderdate) >= 1998 then 10 else 0 end) / 100.0, 2) + 0e0 as confidence from orders join customer on o_custkey = c_custkey")
 _both("flags", f"select o_orderkey, concat(case when drop50 then 'price_drop_50|' else '' end, case when suspicious then 'price_suspicious|' else '' end, case when stale then 'stale_90|' else '' end) as flags from (select o_orderkey, coalesce(o_totalprice < 0.5 * max(o_totalprice) over ({_O} rows between unbounded preceding and 1 preceding), false) as drop50, o_totalprice / greatest(abs(c_acctbal), 1) > 100 as suspicious, year(o_orderdate) < 1993 as stale from orders join customer on o_custkey = c_custkey) x")
 _both("scrape_cadence", "select o_custkey as listing_id, case when cast(max(o_orderdate) as date) < date '1998-06-01' then 'weekly' else 'daily' end as cadence from orders group by o_custkey")
@@ -340,8 +415,8 @@ _query("stream_ledger", "select user_id as listing_id, min(ts) as first_seen, ma
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_found)
+    return _found | listings.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | listings.oracle_sql()
