@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +27,16 @@ from saltmarsh.llm import _vec
 from saltmarsh.llm._io import fresh, table
 from saltmarsh.llm._trees import Scorer
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 ORDER, PAD = 3, 10
 #: Documents that training takes, about.
 SAMPLE = 10_000
 FOLDS = 5
-#: Documents with a lower score are rejected by ``keep_languages``.
-LEAST_SCORE = 0.5
+#: Documents with a lower score are rejected by ``keep_languages``, and those of LONG bytes at least whose shortest code takes more
+#: than MOST_BITS a byte: an unmodelled byte takes eight, texts of learned languages two to four.
+LEAST_SCORE, MOST_BITS, LONG = 0.5, 6.0, 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -128,10 +132,11 @@ def predictions(langs: list[str], bits: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def predict(docs: DataFrame, langs: list[str], scorer: Scorer | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row, then lang_pred and score; underscores stand before these if ``keep`` has such names."""
+    """The columns ``keep`` of every row, then lang_pred, score and bits (of the shortest code a byte, null for short texts);
+    underscores stand before these if ``keep`` has such names."""
     fields = docs.select(*keep).schema.fields
     kept = [f.name for f in fields]
-    names = [fresh(docs.select(*keep), n) for n in ("lang_pred", "score")]
+    names = [fresh(docs.select(*keep), n) for n in ("lang_pred", "score", "bits")]
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
     schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
 
@@ -140,29 +145,33 @@ def predict(docs: DataFrame, langs: list[str], scorer: Scorer | None, keep: list
             for part in _vec.chunks(batch):
                 lettered = [bool(t and _LETTER.search(t)) for t in part.column("text").to_pylist()]
                 label, score = ["und"] * len(lettered), np.zeros(len(lettered))
+                data, offsets = _vec.buffers(part.column("text"))
+                sizes, fit = np.diff(offsets), np.zeros(len(lettered))
                 if scorer is not None:
-                    best, share = predictions(langs, scorer.sums(*_vec.buffers(part.column("text"))))
+                    lengths = scorer.sums(data, offsets)
+                    best, share = predictions(langs, lengths)
+                    fit = lengths.min(axis=1) / np.maximum(sizes, 1)
                     label = [langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered, strict=True)]
                     score = np.where(lettered, share, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(label, pa.string()), pa.array(score, pa.float64())], [*(f"k{i}" for i in range(len(kept))), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64(), mask=sizes < LONG)], [*(f"k{i}" for i in range(len(kept))), "lang_pred", "score", "bits"])
 
-    out = docs.select("text", *own).mapInArrow(_vec.tidied(each), f"{schema}, lang_pred string, score double")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
+    out = docs.select("text", *own).mapInArrow(_vec.tidied(each), f"{schema}, lang_pred string, score double, bits double")
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]), F.col("bits").alias(names[2]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     langs, scorer = train(docs, sample, folds)
     held = docs.select(F.col("doc_id").cast("long"), "text", (fold(folds) == 0).alias("held_out"))
-    return predict(held, langs, scorer, ["doc_id", "held_out"])
+    return predict(held, langs, scorer, ["doc_id", "held_out"]).drop("bits")
 
 
-def keep_languages(docs: DataFrame, least: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
-    """The rows, in their columns, whose text has a language: not ``und``, and of a score that isn't too low."""
+def keep_languages(docs: DataFrame, least: float = LEAST_SCORE, sample: int = SAMPLE, most: float = MOST_BITS) -> DataFrame:
+    """The rows, in their columns, whose text has a learned language: not ``und``, of a score that isn't too low, nor in a code that is too long."""
     langs, scorer = train(docs, sample)
     found = predict(docs, langs, scorer, docs.columns)
-    label, score = found.columns[-2:]
-    return found.filter((F.col(label) != "und") & (F.col(score) >= least)).select(docs.columns)
+    label, score, bits = found.columns[-3:]
+    return found.filter((F.col(label) != "und") & (F.col(score) >= least) & (F.coalesce(bits, F.lit(0.0)) <= most)).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
