@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,11 +110,11 @@ def identifiers(text: str) -> list[str]:
     return [FORMS[k % len(FORMS)](*words[3 * k : 3 * k + 3], (7 * k + len(words)) % 1000) for k in range(len(words) // 3)]
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, SIZE * SIZE), np.int64)
-    for frame in frames:
+    for part in (p for b in batches for p in _vec.chunks(b)):
         samples: tuple[list[str], list[str]] = ([], [])
-        for text in frame["text"]:
+        for text in part.column("text").to_pylist():
             if text:
                 base = base_spans(text)
                 samples[1].extend(folded(secret) for _, _, _, secret in base if len(secret) >= LEAST)
@@ -125,7 +125,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if samples[label]:
                 counts[label] += np.bincount(pair_codes(samples[label])[0], minlength=SIZE * SIZE)
     label, pair = np.nonzero(counts)
-    yield pd.DataFrame({"label": label.astype("int32"), "pair": pair.astype("int32"), "n": counts[label, pair]})
+    yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(counts[label, pair])], ["label", "pair", "n"])
 
 
 def ratio_of(counts: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     n = docs.count()
     if n > sample:
         docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    parts = docs.select("text").mapInPandas(_vec.tidied(_count), "label int, pair int, n long")
+    parts = docs.select("text").mapInArrow(_vec.tidied(_count), "label int, pair int, n long")
     counts = np.zeros((2, SIZE * SIZE))
     for row in parts.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():  # at most 2 * SIZE * SIZE rows
         counts[row.label, row.pair] = row.n
@@ -198,39 +198,40 @@ def scan(docs: DataFrame) -> DataFrame:
     """Every document's secrets: counts of the pattern kinds, a digest of their spans, and all spans with the models'."""
     ratio = train(docs)
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, (base, spans) in zip(frame["doc_id"], all_spans(list(frame["text"]), ratio), strict=True):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in _vec.chunks(b)):
+            counts: tuple[list[int], list[int], list[int]] = ([], [], [])
+            digests, shown = [], []
+            for base, spans in all_spans(part.column("text").to_pylist(), ratio):
                 kinds = [s[2] for s in base]
-                rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            yield out.astype({"doc_id": "Int64"})
+                for k in range(3):
+                    counts[k].append(kinds.count(k))
+                digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                shown.append(joined(spans))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string())], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_vec.tidied(each), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_vec.tidied(each), SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span in ``text`` replaced by ``mark``; overlapping spans become one."""
     ratio = train(docs)
 
-    def each(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in series:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in _vec.chunks(b)):
+            place = part.schema.get_field_index("text")
             out = []
-            own = [t if isinstance(t, str) else "" for t in texts]
-            for text, was, (_, spans) in zip(own, texts, all_spans(own, ratio), strict=True):
+            texts = part.column(place).to_pylist()
+            for text, (_, spans) in zip(texts, all_spans(texts, ratio), strict=True):
                 parts, at, upto = [], 0, -1
                 for a, b, _ in spans:
                     if a >= upto:
                         parts += [text[at:a], mark]
                     at = upto = max(upto, b)
-                out.append("".join(parts) + text[at:] if spans else was)
-            yield pd.Series(out, dtype=object)
+                out.append("".join(parts) + text[at:] if spans else text)
+            yield part.set_column(place, part.schema.field(place), pa.array(out, part.schema.field(place).type))
 
-    def clean(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from _vec.tidied(each)(series)
-
-    return docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
+    return docs.mapInArrow(_vec.tidied(each), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
