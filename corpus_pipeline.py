@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, in the columns of ``documents``; the last one
 returns doc_id with the ids of each kept text and whether they decode to it. Stages are written as Parquet in the
-cluster's shared folder and reread. Language ID drops texts that have no language or an unsure one; near-dedup keeps the
+cluster's shared folder and reread. Language ID drops texts that have no language, an unsure one, or one that isn't learned; near-dedup keeps the
 document of the smallest id of each group; decontamination drops contaminated documents; the secret scan keeps every
 document, with its secrets replaced by a mark, and sets n_chars anew.
 """
@@ -13,31 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import contamination, langid, minhash, secrets, triebpe
-from saltmarsh.llm._io import cut, shared_dir, table
+from saltmarsh.llm._io import cut, prepare, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
+    prepare(spark)
     return langid.keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
+    prepare(spark)
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
+    prepare(spark)
     return contamination.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
-    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    prepare(spark)
+    clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
+    prepare(spark)
     return triebpe.round_trip(docs.select("doc_id", "text"), triebpe.vocabulary())
 
 
@@ -54,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
