@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import places
+from saltmarsh.operators.similar import linked_listings
 
 #: The changes of status that are legal.
 LEGAL = (("active", "removed"), ("active", "sold"), ("active", "pending"), ("removed", "active"), ("removed", "relisted"))
@@ -168,3 +169,23 @@ def explore(rows: DataFrame, at: str, order: tuple[str, ...], page: int = 1, siz
     for name, value in equal.items():
         rows = rows.filter(F.col(name) == value) if value is not None else rows
     return rows.orderBy(F.col(at).asc_nulls_first(), *order).offset(size * (page - 1)).limit(size)
+
+
+def learned(successes: DataFrame, name: str, signature: str, listings: str, at: str) -> DataFrame:
+    """The pattern cache that a log of successes (one row for each page set that gave listings) adds up to, by domain."""
+    return successes.groupBy(F.col(name).alias("name")).agg(F.max_by(signature, at).alias("pattern"), F.count("*").alias("success_count"), F.sum(listings).alias("total_listings"), F.min(at).alias("first_seen"), F.max(at).alias("last_used"))
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row: brokers of a run, how many succeeded and failed, and the listings of those that succeeded."""
+    ok = F.col("status") == "success"
+    return results.agg(F.count("*").alias("total_brokers"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("listings_count"))), F.lit(0)).alias("total_listings"))
+
+
+def suspected_duplicates(listings: DataFrame, least: float = 0.85) -> DataFrame:
+    """id, twins: listings (id, broker, title, state, price, cash_flow) that are very similar to others of other brokers. They are flagged
+    and never merged. Above 0.8 two listings have a state in common, so they meet within it."""
+    pairs = linked_listings(listings, least)
+    brokers = listings.select("id", "broker")
+    across = pairs.join(brokers.toDF("a", "x"), "a").join(brokers.toDF("b", "y"), "b").filter("x != y")
+    return across.select("a").union(across.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("twins"))

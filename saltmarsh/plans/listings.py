@@ -588,6 +588,28 @@ def run_results(spark, sf_dir):
     return sinks.run_summary(results, table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("asking_price"), F.col("l_tax").alias("revenue"), F.col("l_quantity").alias("cash_flow")))
 
 
+@_query("pattern_learned", "select user_id as name, max_by(event_type, event_id) as pattern, count(*) as success_count, cast(sum(event_id % 50) as bigint) as total_listings, min(event_id) as first_seen, max(event_id) as last_used from events where event_type <> 'error' group by user_id")
+def pattern_learned(spark, sf_dir):
+    log = table(spark, sf_dir, "events").filter("event_type <> 'error'").withColumn("n", F.col("event_id") % 50)
+    return rules.learned(log, "user_id", "event_type", "n", "event_id")
+
+
+@_query("run_totals", "select count(*) as total_brokers, cast(sum(case when s_suppkey % 4 <> 0 then 1 else 0 end) as bigint) as successful, cast(sum(case when s_suppkey % 4 = 0 then 1 else 0 end) as bigint) as failed, cast(sum(case when s_suppkey % 4 <> 0 then n else 0 end) as bigint) as total_listings from (select s_suppkey, count(l_suppkey) as n from supplier left join lineitem on l_suppkey = s_suppkey group by s_suppkey) x")
+def run_totals(spark, sf_dir):
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    brokers = table(spark, sf_dir, "supplier").join(counted, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return rules.run_totals(brokers.select(F.when(F.col("s_suppkey") % 4 == 0, "error").otherwise("success").alias("status"), F.coalesce("n", F.lit(0)).alias("listings_count")))
+
+
+_SIMILAR = "0.4 * (1 - levenshtein(a.title, b.title) / cast(greatest(length(a.title), length(b.title), 1) as double)) + 0.2 + 0.2 * cast(abs(a.price - b.price) <= 0.2 * greatest(a.price, b.price) as int) + 0.2 * cast(abs(a.cash_flow - b.cash_flow) <= 0.25 * greatest(a.cash_flow, b.cash_flow) as int)"
+
+
+@_query("suspected_duplicates", f"with p as (select p_partkey as id, p_brand as broker, p_name as title, p_type as state, p_retailprice as price, p_size as cash_flow from part) select a.id, count(*) as twins from p a join p b on a.state = b.state and a.broker <> b.broker and round({_SIMILAR}, 6) > 0.85 group by a.id")
+def suspected_duplicates(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("broker"), F.col("p_name").alias("title"), F.col("p_type").alias("state"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("cash_flow"))
+    return rules.suspected_duplicates(part)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 

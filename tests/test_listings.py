@@ -96,6 +96,7 @@ def test_vendor_errors_are_isolated(spark):
     pages = spark.createDataFrame([(1, "hedgestone", ok), (2, "nobody", ok), (3, "hedgestone", None)], "page_id long, vendor string, html string")
     found = vendors.cards(pages)
     assert [(r.page_id, r.error) for r in found.filter("error is not null").collect()] == [(2, "KeyError: 'nobody'")]
+    assert sorted((r.broker_id, r.status, r.listings_count) for r in vendors.results(found).collect()) == [("hedgestone", "success", 2), ("nobody", "error", 0)]
     rows = vendors.listings(found).collect()
     assert [(r.page_id, r.seq, r.title, r.listing_url) for r in rows] == [(1, 0, "Shop", "https://www.hedgestone.com/business-opportunity/1")]
 
