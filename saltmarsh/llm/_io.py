@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Largest side that is broadcast, by the estimated bytes of its rows, arrays and strings included; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 #: Bytes of texts that go to a Python worker at once, where the session doesn't say otherwise.
 BATCH_BYTES = "4m"
 

@@ -19,17 +19,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.llm import _vec
 from saltmarsh.llm._io import table
 
 #: Fixed value: the pre-tokenizer's public pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Cached pieces of a worker.
-CACHE = 600_000
+#: A worker's cached pieces (as many again from before), steps of the trie, and judgements whether a token may follow another:
+#: about 30 MB of each at most.
+PIECES, STEPS, FOLLOWS = 120_000, 100_000, 300_000
+#: Texts that are encoded at once.
+AT_ONCE = 200
 #: Letters alone, with or without a space before: one word to the pattern.
 _WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _ODD = re.compile(r"  | \n|\n |\n\n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -60,10 +64,12 @@ class TrieBpe:
         self.bytes_of |= {number: content.encode() for content, number in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.heads = {token[:end] for token, number in self.vocab.items() if number not in self.special.values() for end in range(1, len(token) + 1)}
-        self.steps: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
+        del spec, pairs
+        self.forget_steps()
         self.pattern = regex.compile(PATTERN)
         self.follows: dict[int, bool] = {}
         self.pieces: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.id_bytes = {str(number): token for number, token in self.bytes_of.items()}
 
     def merged(self, raw: bytes) -> list[bytes]:
@@ -82,56 +88,65 @@ class TrieBpe:
         return parts
 
     def may_follow(self, a: int, b: int) -> bool:
-        if len(self.follows) > 4 * CACHE:
+        if len(self.follows) > FOLLOWS:
             self.follows.clear()
         a_bytes, b_bytes = self.bytes_of[a], self.bytes_of[b]
         found = self.follows[a << 32 | b] = self.merged(a_bytes + b_bytes) == [a_bytes, b_bytes]
         return found
 
-    def step(self, path: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-        """The longest end of ``path`` that begins a token, and the tokens that ``path`` ends in, longest first, with their lengths."""
-        if len(self.steps) > CACHE:
-            self.steps.clear()
-        state = path
-        while state and state not in self.heads:
-            state = state[1:]
-        ends = [(self.vocab[state[k:]], len(state) - k) for k in range(len(state)) if state[k:] in self.vocab]
-        found = self.steps[path] = state, ends
+    def forget_steps(self) -> None:
+        """States are dicts from a byte to the next state and its tokens, filled as they are walked; at -1 stands a state's string."""
+        self.root: dict = {-1: b""}
+        self.states: dict[bytes, dict] = {b"": self.root}
+        self.filled = 0
+
+    def step(self, state: dict, byte: int) -> tuple[dict, list[tuple[int, int]]]:
+        """The longest end of what was read that begins a token, and the tokens that it ends in, longest first, with their lengths."""
+        path = state[-1] + bytes((byte,))
+        while path and path not in self.heads:
+            path = path[1:]
+        ends = [(self.vocab[path[k:]], len(path) - k) for k in range(len(path)) if path[k:] in self.vocab]
+        found = state[byte] = self.states.setdefault(path, {-1: path}), ends
+        self.filled += 1
         return found
 
     def encode_words(self, words: list[str]) -> None:
         """Ids of distinct words into ``pieces``, in one depth-first walk of their trie."""
-        steps, follows, may_follow = self.steps, self.follows, self.may_follow
+        follows, may_follow, pieces, step = self.follows, self.may_follow, self.pieces, self.step
         last: list[int] = [-1]  # of each prefix of the word at hand, its last token, that token's length, and the state
         length: list[int] = [0]
-        states: list[bytes] = [b""]
+        states: list[dict] = [self.root]
         held = b""
         for raw, word in sorted((w.encode(), w) for w in words):
             shared, top = 0, min(len(raw), len(held))
             while shared < top and raw[shared] == held[shared]:
                 shared += 1
             del last[shared + 1 :], length[shared + 1 :], states[shared + 1 :]
-            state = states[shared]
-            for end in range(shared, len(raw)):
-                path = state + raw[end : end + 1]
-                state, ends = steps.get(path) or self.step(path)
+            state, end = states[shared], shared
+            for byte in raw[shared:]:
+                end += 1
+                state, ends = state.get(byte) or step(state, byte)
                 for token, size in ends:
-                    start = end + 1 - size
+                    start = end - size
                     if not start or (ok := follows.get(last[start] << 32 | token)) or (ok is None and may_follow(last[start], token)):
                         break
                 last.append(token)
                 length.append(size)
                 states.append(state)
-            held, ids, end = raw, [], len(raw)
+            held, ids = raw, []
             while end:
                 ids.append(str(last[end]))
                 end -= length[end]
-            self.pieces[word] = ",".join(reversed(ids))
+            ids.reverse()
+            pieces[word] = ",".join(ids)
 
     def add_pieces(self, missing: set[str]) -> None:
         """Ids of pieces; one that is a single word to the pattern is its own word, as every word is by itself."""
         missing.discard("")
-        cut = {piece: self.pattern.findall(piece) for piece in missing if not _WORD.fullmatch(piece)}
+        cut = {}
+        for piece in missing:
+            if not _WORD.fullmatch(piece):
+                cut[piece] = [piece[:-1], piece[-1]] if piece[-1] in ",.;:!?" and _WORD.fullmatch(piece, 0, len(piece) - 1) else self.pattern.findall(piece)
         new = {w for own in cut.values() for w in own if w not in self.pieces} | missing.difference(cut)
         self.encode_words(list(new))
         for piece, own in cut.items():
@@ -142,8 +157,10 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by commas."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces, self.before = {}, self.pieces
+        if self.filled > STEPS:
+            self.forget_steps()
         ways = [self.plain(t) for t in texts]
         pieces, newline = self.pieces, str(self.vocab[b"\n"])
         cut: list[list[list[str]] | None] = []
@@ -161,6 +178,8 @@ class TrieBpe:
                 cut.append(lines)
             else:
                 cut.append(None)
+        missing.difference_update(pieces)
+        pieces.update({p: self.before[p] for p in missing.intersection(self.before)})
         self.add_pieces(missing.difference(pieces))
         join = f",{newline},".join
         get = pieces.__getitem__
@@ -192,57 +211,63 @@ def coder(path: str) -> TrieBpe:
     return _loaded[path]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[str], list[str]]]:
+    """Ids of rows, their texts (null: empty) and these texts' token ids, AT_ONCE rows or a megabyte at a time."""
+    own = coder(path)
+    for batch in batches:
+        for some in _vec.chunks(batch):
+            for k in range(0, some.num_rows, AT_ONCE):
+                part = some.slice(k, AT_ONCE)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                yield part.column("doc_id"), texts, own.encode_batch(texts)
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path)
-        for frame in frames:
-            for k in range(0, len(frame), 500):
-                part = frame.iloc[k : k + 500]
-                ids = own.encode_batch([t or "" for t in part["text"]])
-                sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": [i.count(",") + 1 if i else 0 for i in ids], "ids_sha256": [sha(i) for i in ids], "decoded_sha256": [sha(own.decode(i)) for i in ids]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for doc_id, _, ids in _encoded(batches, path):
+            counts = pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_id, counts, pa.array([sha(i) for i in ids]), pa.array([sha(coder(path).decode(i)) for i in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_vec.tidied(each), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), exact: whether the ids decode to the text, for every row; a null text counts as empty."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path)
-        for frame in frames:
-            for k in range(0, len(frame), 200):
-                part = frame.iloc[k : k + 200]
-                texts = [t or "" for t in part["text"]]
-                ids = own.encode_batch(texts)
-                arrays = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": [len(a) for a in arrays], "ids": arrays, "exact": [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, texts, ids in _encoded(batches, path):
+            arrays = [np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i in ids]
+            sizes = np.array([len(a) for a in arrays], np.int64)
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate(arrays))
+            exact = [coder(path).decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(sizes), lists, pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_vec.tidied(each), "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 
 def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """The rows with an array of their text's ids as a further column."""
+    import pandas as pd
 
-    @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        own = coder(path)
-        return pd.Series([[int(i) for i in x.split(",")] if x else [] for x in own.encode_batch([t or "" for t in texts])])
+        return pd.Series([[int(i) for i in x.split(",")] if x else [] for x in coder(path).encode_batch([t or "" for t in texts])])
 
-    return docs.withColumn(column, ids("text"))
+    ids.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return docs.withColumn(column, F.pandas_udf(ids, "array<int>")("text"))
 
 
 def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """The rows with the text of ``column`` as ``decoded``."""
+    import pandas as pd
 
-    @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        own = coder(path)
-        return pd.Series([own.decode(",".join(map(str, x))) if x is not None else None for x in ids], dtype=object)
+        return pd.Series([coder(path).decode(",".join(map(str, x))) if x is not None else None for x in ids], dtype=object)
 
-    return encoded.withColumn("decoded", text(column))
+    text.__annotations__ = {"ids": pd.Series, "return": pd.Series}
+    return encoded.withColumn("decoded", F.pandas_udf(text, "string")(column))
 
 
 def vocabulary() -> str:
