@@ -10,6 +10,10 @@ In a task each new batch of suffixes gets a suffix array (order: first eight byt
 window), is scanned against the existing levels for windows they share, and joins the family as a level; levels of equal
 size merge, so that n batches leave log n levels. A gram with very many surroundings is split by fingerprint over tasks.
 
+The registered query also tells how many passages of more than WORDS words repeat, from a first search for strings of PASSAGE
+bytes; a passage of fewer bytes than LENGTH stays in the text. Passages whose words have about four letters on average may
+be shorter than PASSAGE and aren't counted.
+
 Null and empty texts, and texts shorter than ``length``, have no windows and stay as they are. Repeated rows count as
 occurrences of one another. Two different windows of equal 64-bit fingerprint would count as equal (2^-64 a pair).
 Only ``doc_id`` and ``text`` are read.
@@ -31,8 +35,10 @@ from saltmarsh.llm._io import cut, sized, table
 LENGTH, GRAM, RUN = 400, 32, 1024
 #: Surroundings of one gram that one task takes; with more, its windows are split over up to SALTS tasks.
 SURROUNDINGS, SALTS = 4000, 64
-#: Rows up to which positions by document are broadcast to the texts rather than shuffled with them.
-POSITIONS = 200_000
+#: Windows of one task's index.
+WINDOWS_A_TASK = 2_000_000
+#: Bytes of the repeated strings that make up passages, and the words that a passage has more of.
+PASSAGE, WORDS = 256, 50
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -97,7 +103,7 @@ def records(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 key = part.column("key").to_numpy(zero_copy_only=False)[row].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_vec.signed(least)), pa.array((start - offsets[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(_vec.signed(whole)), pa.array(own)], ["key", "gram", "start", "count", "whole", "own"])
 
-    return docs.mapInArrow(each, "key long, gram long, start int, count int, whole long, own boolean")
+    return docs.mapInArrow(_vec.tidied(each), "key long, gram long, start int, count int, whole long, own boolean")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -121,8 +127,8 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     by_doc = cut(wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "start", "count", "salts")).alias("parts")), "wanted")
-    joined = docs.select("key", "text").join(sized(by_doc, POSITIONS), "key")
-    return joined.mapInArrow(each, "gram long, salt int, salts int, key long, start int, count int, bytes binary")
+    joined = docs.select("key", "text").join(sized(by_doc), "key")
+    return joined.mapInArrow(_vec.tidied(each), "gram long, salt int, salts int, key long, start int, count int, bytes binary")
 
 
 class SuffixLevels:
@@ -209,24 +215,25 @@ def repeats(pieces: DataFrame, length: int) -> DataFrame:
             last = np.r_[first[1:], len(key)] - 1
             yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(start[first]), pa.array(start[last] + np.int32(length))], ["key", "first", "last"])
 
-    return pieces.mapInArrow(each, "key long, first int, last int")
+    return pieces.mapInArrow(_vec.tidied(each), "key long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """key, first, last: byte spans (end exclusive, they may overlap) of repeated strings. ``docs`` has key and text."""
     found = cut(records(docs, length, gram), "windows")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 or own").select("gram", "own")
-    several = found.drop("own").join(sized(cut(grams, "grams")), "gram")
+    several = cut(found.drop("own").join(sized(cut(grams, "grams")), "gram"), "several")
     kinds = cut(several.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("key", "start", "count")).alias("one")), "kinds")
     wholly = sized(cut(kinds.filter("n > 1").select("gram", "whole"), "wholly"))
-    twice = found.join(wholly, ["gram", "whole"], "left_semi")
+    twice = several.join(wholly, ["gram", "whole"], "left_semi")
     spans = twice.select("key", F.col("start").alias("first"), (F.col("start") + F.col("count") + length - 1).alias("last"))
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("own").alias("own")).filter("kinds > 1 or own")
     mixed = cut(mixed.select("gram", F.least(F.lit(SALTS), F.ceil(F.col("kinds") / SURROUNDINGS)).cast("int").alias("salts")), "mixed")
     # One record of each kind: others with the same bytes repeat as a whole and are in ``spans`` already.
-    wanted = kinds.join(sized(mixed), "gram").select("gram", "salts", "one.*")
+    wanted = cut(kinds.join(sized(mixed), "gram").select("gram", "salts", "one.*"), "pieces")
     pieces = with_bytes(docs, wanted, length)
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    windows = wanted.agg(F.sum(F.col("count").cast("long"))).first()[0] or 0
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // WINDOWS_A_TASK))
     indexed = repeats(pieces.repartition(parts, "gram", "salt"), length)
     return spans.union(indexed)
 
@@ -235,25 +242,18 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """doc_id, text, spans: every row with the merged spans of its text's bytes that repeat, null if there are none."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     spans = repeated_spans(docs.select("key", "text"), length, gram)
-    by_doc = cut(spans.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "spans")
-    return docs.join(sized(by_doc, POSITIONS), "key", "left").select("doc_id", "text", "spans")
+    return docs.join(sized(by_key(spans, "spans")), "key", "left").select("doc_id", "text", "spans")
 
 
 def kept_bytes(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """What is left, how many bytes went, and in how many maximal runs."""
     if not spans:
         return raw, 0, 0
-    merged: list[list[int]] = []
-    for s in spans:
-        if merged and s["first"] <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], s["last"])
-        else:
-            merged.append([s["first"], s["last"]])
-    parts, at = [], 0
-    for a, b in merged:
+    parts, at, runs = [], 0, merged(spans)
+    for a, b in runs:
         parts.append(raw[at:a])
         at = b
-    return b"".join(parts) + raw[at:], sum(b - a for a, b in merged), len(merged)
+    return b"".join(parts) + raw[at:], sum(b - a for a, b in runs), len(runs)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -269,9 +269,70 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 size, kept, gone, runs = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return removed(docs.select(F.col("doc_id").cast("long"), "text"), length, gram).mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return removed(docs.select(F.col("doc_id").cast("long"), "text"), length, gram).mapInArrow(_vec.tidied(each), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans in order of their starts as maximal runs."""
+    out: list[list[int]] = []
+    for s in spans:
+        if out and s["first"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["last"])
+        else:
+            out.append([s["first"], s["last"]])
+    return [(a, b) for a, b in out]
+
+
+def runs_from(texts: DataFrame, length: int) -> DataFrame:
+    """key, at, text: the bytes of each text's merged ``spans`` of ``length`` bytes at least, with where they start."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _vec.chunks(batch):
+                rows = []
+                for key, text, spans in zip(part.column("key").to_pylist(), part.column("text"), part.column("spans").to_pylist(), strict=True):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    rows += [(key, a, raw[a:b]) for a, b in merged(spans) if b - a >= length]
+                key, at, cutouts = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(cutouts, pa.binary())], ["key", "at", "text"])
+
+    return texts.select("key", "text", "spans").mapInArrow(_vec.tidied(each), "key long, at int, text binary")
+
+
+def by_key(spans: DataFrame, name: str) -> DataFrame:
+    return cut(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(name)), name)
+
+
+def with_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """The columns of ``deduplicated`` and n_passages: maximal runs of repeated strings of ``passage`` bytes that hold more
+    than ``words`` words, removed or not. ``passage`` isn't longer than ``length``.
+
+    Strings of ``passage`` bytes are found first. A longer repeated string lies within one of their runs, so only runs of
+    ``length`` bytes at least go on to the search for strings of ``length`` bytes.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
+    runs = by_key(repeated_spans(docs.select("key", "text"), passage, gram), "spans")
+    texts = runs_from(docs.join(sized(runs), "key"), length).withColumnRenamed("key", "doc").withColumn("key", F.xxhash64("doc", "at"))
+    parts = cut(texts, "runs")
+    found = repeated_spans(parts.select("key", "text"), length, gram).join(parts.select("key", "doc", "at").distinct(), "key")
+    gone = by_key(found.select(F.col("doc").alias("key"), (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last")), "gone")
+    both = cut(runs.join(gone, "key", "left"), "both")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _vec.chunks(batch):
+                rows = []
+                for text, spans, gone in zip(part.column("text"), part.column("spans").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    kept, n_removed, n_spans = kept_bytes(raw, gone)
+                    rows.append((len(raw), n_removed, n_spans, sum(len(raw[a:b].split()) > words for a, b in merged(spans or [])), kept))
+                size, removed, n, passages, kept = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, n, passages)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept"])
+
+    joined = docs.join(sized(both), "key", "left").select("doc_id", "text", "spans", "gone")
+    return joined.mapInArrow(_vec.tidied(each), "doc_id long, n_bytes long, n_removed long, n_spans long, n_passages long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = with_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
