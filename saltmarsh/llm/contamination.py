@@ -20,18 +20,20 @@ from saltmarsh.llm._io import cut, fresh, sized, table
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
-#: Fixed pattern of the contract: a word after A-Z have been lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed class of the contract: what separates words after A-Z have been lowered; and before.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+SEPARATOR_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: The bitmap's 64-bit longs at least and at most, and its bits for each test window.
 BITMAP_LONGS, LONGS_MOST, BITS_A_WINDOW = 1 << 14, 1 << 16, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """The words in lower case; texts of ASCII alone take the faster of two functions that then do the same."""
+    """The words in lower case; texts of ASCII alone take the faster of two functions that then do the same. Splitting at the
+    separators takes a tenth of the time that extracting all words takes, which copies the text for each."""
     text = F.coalesce(text, F.lit(""))
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, f"{SEPARATOR}+"), "")
 
 
 def key_of() -> Column:
@@ -118,10 +120,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """doc_id, text: every row's text without the words that are hit, each with what separates it from the word before."""
     found = scan(docs, benchmark, window).filter("size(spans) > 0").select("key", "spans").dropDuplicates(["key"])
     own = docs.select(key_of().alias("key"), "doc_id", "text").join(sized(cut(found, "spans")), "key", "left")
-    separator = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    parts = F.regexp_extract_all("text", F.lit(f"{separator}*{separator.replace('[', '[^', 1)}+"), F.lit(0))
+    parts = F.split("text", f"(?<={SEPARATOR_ANY_CASE.replace('[', '[^', 1)})(?={SEPARATOR_ANY_CASE})")  # a word with what stands before it; last what is left
     kept = F.filter(parts, lambda p, i: ~F.exists("spans", lambda s: (s.first <= i + 1) & (i + 1 <= s.last)))
-    rest = F.concat(F.array_join(kept, ""), F.regexp_extract("text", f"{separator}*$", 0))
+    rest = F.array_join(kept, "")
     return own.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest).alias("text"))
 
 
