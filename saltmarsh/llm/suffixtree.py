@@ -30,7 +30,7 @@ from saltmarsh.llm import _vec
 from saltmarsh.llm._io import cut, table
 from saltmarsh.llm._trees import Scorer
 
-DEPTH, DIVERGENCE, DISCOUNT, FREQUENT = 5, 6.0, 0.9, 4e-6
+DEPTH, DIVERGENCE, DISCOUNT, FREQUENT = 5, 1.0, 0.75, 4e-6
 #: Bytes of the grams that the driver holds, and of a context by which branches are dealt to tasks.
 WIDE = 3
 #: Share of the training bytes from which a gram's value is broadcast, and grams of a task's branches.
