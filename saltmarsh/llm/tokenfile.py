@@ -34,11 +34,14 @@ from saltmarsh.llm._io import shared_dir, table
 #: Fixed value of the contract: the id after each document.
 END_ID = 1
 DICTIONARY_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2_000, 20_000, 64 << 10, 1
-#: Bytes of frames of a shard record, cached pieces of a worker.
-SHARD, CACHE = 4 << 20, 800_000
+#: Bytes of frames of a shard record, cached pieces of a worker (as many again from before).
+SHARD, CACHE = 4 << 20, 300_000
+#: Ids of a piece from which it is packed as an array.
+LONG = 64
 _loaded: dict = {}
-#: Lower-case letters of ASCII and Latin-1, composed: neither normalisation nor pre-tokens change or divide them.
-SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Letters of ASCII and Latin-1, composed, and marks after them: normalisation only lowers the letters, and letters and marks
+#: are a pre-token each. Apostrophes may begin one with the letters after, so they are left out.
+SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 #: The vocabulary's letters for the bytes that aren't printable in Latin-1.
 LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
@@ -52,53 +55,64 @@ class Pieces:
         self.tokenizer.no_padding()
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.packs = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(LONG)]
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Serialized ids of each text, the end id last."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         known, cut = self.known, [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for pieces in cut:
-            missing.update(pieces)
+        missing = set().union(*cut).difference(known)
+        if self.before:
+            known.update({p: self.before[p] for p in missing.intersection(self.before)})
+            missing.difference_update(known)
         gc.disable()  # a million small tuples and strings, no cycles
-        self.learn({p for p in missing if p not in known})
+        self.learn(missing)
         gc.enable()
         last = np.array([end], self.width).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) + last for pieces in cut]
+        get = known.__getitem__
+        return [b"".join(map(get, pieces)) + last for pieces in cut]
 
     def learn(self, missing: set[bytes]) -> None:
-        """Ids of new pieces. A comma or stop after a letter is a pre-token of its own, and letters of ASCII may be lowered."""
+        """Ids of new pieces; one of letters with marks after them is put together from its lowered letters and its marks."""
+        known, packs, tokenize = self.known, self.packs, self.tokenizer.model.tokenize
         stems: list[tuple[bytes, bytes, bytes]] = []
-        new: set[bytes] = set()
+        whole: list[bytes] = []
+        simple = SIMPLE.fullmatch
         for p in missing:
-            tail = p[-1:] if p.endswith((b",", b".")) and p[-2:-1].isalpha() else b""
-            stem = p[:-1] if tail else p
-            if stem.isalpha():
-                stem = stem.lower()
-            if stem not in self.known:
-                new.add(stem)
-            if tail and tail not in self.known:
-                new.add(tail)
-            if stem is not p:
-                stems.append((p, stem, tail))
-        simple = {p for p in new if SIMPLE.fullmatch(p)}
-        for p in simple:
-            letters = p.decode() if p.isascii() else p.decode("latin-1").translate(LETTERS)
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
-            self.known[p] = struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
-        new -= simple
-        whole = [p for p in new if b"|" not in p]
+            if (m := simple(p)) is None:
+                whole.append(p)
+                known[p] = b""
+                continue
+            stem, tail = m.groups()
+            plain = stem.isascii()
+            letters = stem.decode().lower()
+            if tail or not stem.islower() or not plain:
+                stem = letters.encode()
+                if stem != p:
+                    stems.append((p, stem, tail))
+                if tail and tail not in known:
+                    whole.append(tail)
+                    known[tail] = b""
+                if stem in known:
+                    continue
+            ids = [t.id for t in tokenize(letters if plain else stem.decode("latin-1").translate(LETTERS))]
+            known[stem] = packs[len(ids)](*ids) if len(ids) < LONG else np.array(ids, self.width).tobytes()
+        marked = [p for p in whole if b"|" in p]
+        whole = [p for p in whole if b"|" not in p]
         mark = self.tokenizer.encode("|", add_special_tokens=False).ids
         for at in range(0, len(whole), 256):
             part = whole[at : at + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, self.width)
-            for piece, found in zip(part, np.split(ids, np.flatnonzero(ids == mark[0])), strict=True):
-                self.known[piece] = found[found != mark[0]].tobytes()
-        for piece in new.difference(whole):
-            self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.width).tobytes()
+            edges = np.flatnonzero(ids == mark[0])
+            raw, width = ids.tobytes(), ids.itemsize
+            for piece, a, b in zip(part, [0, *(edges + 1).tolist()], [*edges.tolist(), len(ids)], strict=True):
+                known[piece] = raw[width * a : width * b]
+        for piece in marked:
+            known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.width).tobytes()
         for piece, stem, tail in stems:
-            self.known[piece] = self.known[stem] + (self.known[tail] if tail else b"")
+            known[piece] = known[stem] + known[tail] if tail else known[stem]
 
 
 def pieces_of(path: str) -> Pieces:
