@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only: a broadcast hash set of normalised test n-grams.
 
 Every document is scanned once. Short grams at strided positions, of which each window holds one, are looked up in a
-bitmap of the test items' grams (a literal of fixed size); only documents with a hit there unfold all their windows, which
+bitmap of the test items' grams (a literal of bounded size, two bits a gram); only documents with a hit there unfold all their windows, which
 are joined as whole strings with the test windows, so no hit rests on a hash. Null and empty texts have no words and are
 clean; items without words have no window; without items every document is clean; repeated rows are judged one by one, and
 items that share a window (ties) all count. A very long text is one row of words until it is unfolded into windows.
@@ -67,10 +67,11 @@ def longs_for(windows: int) -> int:
 
 
 def bitmap(windows: DataFrame, lengths: list[int], longs: int = BITMAP_LONGS) -> str:
-    """SQL for an array of longs with a bit set for the hash of each short gram of the windows."""
+    """SQL for an array of longs with two bits set for each short gram of the windows, by both halves of its hash."""
     grams = windows.select("len", F.split("gram", " ").alias("w"))
     hashes = reduce(DataFrame.union, (grams.filter(F.col("len") == n).select(F.explode(F.expr(_anchors("w", n, 1))).alias("h")) for n in lengths))
-    bits = hashes.select(F.expr(f"pmod(shiftright(h, 6), {longs})").cast("int").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    halves = hashes.select(F.explode(F.array("h", F.shiftright("h", 32))).alias("h"))
+    bits = halves.select(F.expr(f"pmod(shiftright(h, 6), {longs})").cast("int").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     found = {r.k: r.bits for r in bits.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()}  # at most ``longs`` rows
     return "array(" + ",".join(f"{x}L" if x != -(2**63) else "shiftleft(1L, 63)" for x in (found.get(k, 0) for k in range(longs))) + ")"
 
@@ -88,7 +89,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     bits = bitmap(windows, lengths, longs)
     unfolded = []
     for n in lengths:
-        hit = F.expr(f"exists({_anchors('words', n, anchor(n)[1])}, h -> (shiftright(get({bits}, cast(pmod(shiftright(h, 6), {longs}) as int)), cast(h & 63 as int)) & 1) = 1)")
+        bit = lambda h: f"(shiftright(get({bits}, cast(pmod(shiftright({h}, 6), {longs}) as int)), cast({h} & 63 as int)) & 1) = 1"
+        hit = F.expr(f"exists({_anchors('words', n, anchor(n)[1])}, h -> {bit('h')} and {bit('shiftright(h, 32)')})")
         every = F.expr(f"transform(sequence(1, size(words) - {n} + 1), i -> named_struct('at', i, 'len', {n}, 'gram', array_join(slice(words, i, {n}), ' ')))")
         unfolded.append(F.when((F.col("n_words") >= n) & hit, every).otherwise(empty))
     rows = own.select("row_id", "key", "doc_id", "n_words", F.explode_outer(F.concat(*unfolded)).alias("w")).select("row_id", "key", "doc_id", "n_words", "w.at", "w.len", "w.gram")
