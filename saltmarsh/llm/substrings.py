@@ -184,7 +184,8 @@ class SuffixLevels:
 
 
 def repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """key, first, last (exclusive) bytes covered by windows that repeat among the records of their gram."""
+    """key, first, last (exclusive) bytes covered by windows that repeat among the records of their gram, and once more, as
+    ``across``, those that repeat in another key."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, records = SuffixLevels(), []
@@ -203,30 +204,40 @@ def repeats(pieces: DataFrame, length: int) -> DataFrame:
                 owner, step, at, mark = owner[mine], step[mine], at[mine], mark[mine]
                 head = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[at].astype(np.uint64)
                 family.add(head, mark)
-                records.append((key[owner], (start[owner] + step).astype(np.int32)))
+                records.append((key[owner], (start[owner] + step).astype(np.int32), mark))
         if not records:
             return
         hit = family.repeated()
-        key, start = (np.concatenate(x)[hit] for x in zip(*records, strict=True))
-        order = np.lexsort((start, key))
-        key, start = key[order], start[order]
-        if len(key):
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (start[1:] > start[:-1] + length)])
-            last = np.r_[first[1:], len(key)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(start[first]), pa.array(start[last] + np.int32(length))], ["key", "first", "last"])
-
-    return pieces.mapInArrow(_vec.tidied(each), "key long, first int, last int")
+        key, start, mark = (np.concatenate(x)[hit] for x in zip(*records, strict=True))
+        if not len(key):
+            return
+        order = np.lexsort((key, mark))  # windows of one mark have several keys if the first and the last of them differ
+        head = np.flatnonzero(np.r_[True, mark[order][1:] != mark[order][:-1]])
+        tail = np.r_[head[1:], len(order)] - 1
+        several = np.zeros(len(key), bool)
+        several[order] = np.repeat(key[order][head] != key[order][tail], tail - head + 1)
+        for across in (False, True):
+            own, at = (key[several], start[several]) if across else (key, start)
+            order = np.lexsort((at, own))
+            own, at = own[order], at[order]
+            if len(own):
+                first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (at[1:] > at[:-1] + length)])
+                last = np.r_[first[1:], len(own)] - 1
+                yield pa.RecordBatch.from_arrays([pa.array(own[first]), pa.array(at[first]), pa.array(at[last] + np.int32(length)), pa.array(np.full(len(first), across))], ["key", "first", "last", "across"])
+
+    return pieces.mapInArrow(_vec.tidied(each), "key long, first int, last int, across boolean")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, first, last: byte spans (end exclusive, they may overlap) of repeated strings. ``docs`` has key and text."""
+    """key, first, last: byte spans (end exclusive, they may overlap) of repeated strings, and whether they are known to repeat
+    ``across`` keys. ``docs`` has key and text."""
     found = cut(records(docs, length, gram), "windows")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 or own").select("gram", "own")
     several = cut(found.drop("own").join(sized(cut(grams, "grams")), "gram"), "several")
-    kinds = cut(several.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("key", "start", "count")).alias("one")), "kinds")
-    wholly = sized(cut(kinds.filter("n > 1").select("gram", "whole"), "wholly"))
-    twice = several.join(wholly, ["gram", "whole"], "left_semi")
-    spans = twice.select("key", F.col("start").alias("first"), (F.col("start") + F.col("count") + length - 1).alias("last"))
+    kinds = cut(several.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("key", "start", "count")).alias("one"), (F.min("key") != F.max("key")).alias("across")), "kinds")
+    wholly = sized(cut(kinds.filter("n > 1").select("gram", "whole", "across"), "wholly"))
+    twice = several.join(wholly, ["gram", "whole"])
+    spans = twice.select("key", F.col("start").alias("first"), (F.col("start") + F.col("count") + length - 1).alias("last"), "across")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("own").alias("own")).filter("kinds > 1 or own")
     mixed = cut(mixed.select("gram", F.least(F.lit(SALTS), F.ceil(F.col("kinds") / SURROUNDINGS)).cast("int").alias("salts")), "mixed")
     # One record of each kind: others with the same bytes repeat as a whole and are in ``spans`` already.
@@ -299,19 +310,19 @@ def runs_from(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("key", "text", "spans").mapInArrow(_vec.tidied(each), "key long, at int, text binary")
 
 
-def by_key(spans: DataFrame, name: str) -> DataFrame:
-    return cut(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(name)), name)
+def by_key(spans: DataFrame, name: str, *more: str) -> DataFrame:
+    return cut(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last", *more))).alias(name)), name)
 
 
 def with_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
-    """The columns of ``deduplicated`` and n_passages: maximal runs of repeated strings of ``passage`` bytes that hold more
-    than ``words`` words, removed or not. ``passage`` isn't longer than ``length``.
+    """The columns of ``deduplicated`` and n_passages: maximal runs of strings of ``passage`` bytes that repeat in other documents
+    and hold more than ``words`` words, removed or not. ``passage`` isn't longer than ``length``.
 
     Strings of ``passage`` bytes are found first. A longer repeated string lies within one of their runs, so only runs of
     ``length`` bytes at least go on to the search for strings of ``length`` bytes.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
-    runs = by_key(repeated_spans(docs.select("key", "text"), passage, gram), "spans")
+    runs = by_key(repeated_spans(docs.select("key", "text"), passage, gram), "spans", "across")
     texts = runs_from(docs.join(sized(runs), "key"), length).withColumnRenamed("key", "doc").withColumn("key", F.xxhash64("doc", "at"))
     parts = cut(texts, "runs")
     found = repeated_spans(parts.select("key", "text"), length, gram).join(parts.select("key", "doc", "at").distinct(), "key")
@@ -325,7 +336,7 @@ def with_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passa
                 for text, spans, gone in zip(part.column("text"), part.column("spans").to_pylist(), part.column("gone").to_pylist(), strict=True):
                     raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                     kept, n_removed, n_spans = kept_bytes(raw, gone)
-                    rows.append((len(raw), n_removed, n_spans, sum(len(raw[a:b].split()) > words for a, b in merged(spans or [])), kept))
+                    rows.append((len(raw), n_removed, n_spans, sum(len(raw[a:b].split()) > words for a, b in merged([x for x in spans or [] if x["across"]])), kept))
                 size, removed, n, passages, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, n, passages)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept"])
 

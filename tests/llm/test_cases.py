@@ -286,3 +286,10 @@ def test_unlearned_languages_go(small, spark):
     rows = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(foreign)], small.schema)
     kept = {r.doc_id for r in langid.keep_languages(small.union(rows)).collect()}
     assert kept == {d for d, t in pairs(small) if any(c.isalpha() for c in t or "")}
+
+
+def test_a_document_that_repeats_itself_has_no_passage(spark):
+    line = "the same words again and again in one line of a text that says nothing new at all "
+    rows = [(1, line * 30), (2, "other " * 3 + line.replace("same", "very") * 30), (3, "x"), (4, None)]
+    got = {r.doc_id: (r.n_passages, r.n_removed > 0) for r in substrings.with_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, False), 4: (0, False)}
