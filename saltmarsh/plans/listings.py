@@ -413,14 +413,9 @@ def detail_listings(spark, sf_dir):
 
 # Cards --------------------------------------------------------------------------------------------------------------
 
-_EXPENSES = "concat('Restaurant', ' ')"
 _SHELL = ("<html><body><main>", "</main></body></html>")
 
 
-def _card(cls: str, url: str, title: str, text: str) -> str:
-    return f"""concat('<div class="{cls}"><a href="', {url}, '"><h3>', {title}, '</h3></a><p>', {text}, '</p></div>')"""
-
-
 _SIG = "div|children:a,p|has_link|text:medium|has_price"
 _SIG2 = "section|children:a,p|has_link|text:medium"
 
@@ -532,15 +527,12 @@ def location_extras(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", rules.country_code(F.expr(_COUNTRY)).alias("country"), rules.location_hidden(F.expr(_WHERE)).alias("location_hidden"), rules.is_range(price).alias("price_range"), money.any_price(price).cast("int").alias("lower_bound"))
 
 
-@_query("broker_aliases", "select l_suppkey, l_partkey, arg_min(u, (l_shipdate, u)) as canonical_url, array_to_string(list_filter(list_sort(list_distinct(list(u))), lambda x: x <> arg_min(u, (l_shipdate, u))), ' ') as aliases from (select *, concat('https://b', l_suppkey, '.example/', l_orderkey) as u from lineitem) x group by l_suppkey, l_partkey")
+@_query("broker_aliases", "with t as (select l_suppkey, l_partkey, concat('https://b', l_suppkey, '.example/', l_orderkey) as u, l_shipdate from lineitem), f as (select l_suppkey, l_partkey, u, row_number() over (partition by l_suppkey, l_partkey order by l_shipdate, u) as r from t), c as (select l_suppkey, l_partkey, u as canonical_url from f where r = 1) select c.l_suppkey, c.l_partkey, c.canonical_url, coalesce(string_agg(distinct f.u, ' ' order by f.u) filter (where f.u <> c.canonical_url), '') as aliases from c join f using (l_suppkey, l_partkey) group by all")
 def broker_aliases(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem").withColumn("u", F.expr("concat('https://b', l_suppkey, '.example/', l_orderkey)"))
     return rules.aliases(item, "l_suppkey", "l_partkey", "u", "l_shipdate").withColumn("aliases", F.array_join("aliases", " "))
 
 
-_sql["broker_aliases"] = "with t as (select l_suppkey, l_partkey, concat('https://b', l_suppkey, '.example/', l_orderkey) as u, l_shipdate from lineitem), f as (select l_suppkey, l_partkey, u, row_number() over (partition by l_suppkey, l_partkey order by l_shipdate, u) as r from t), c as (select l_suppkey, l_partkey, u as canonical_url from f where r = 1) select c.l_suppkey, c.l_partkey, c.canonical_url, coalesce(string_agg(distinct f.u, ' ' order by f.u) filter (where f.u <> c.canonical_url), '') as aliases from c join f using (l_suppkey, l_partkey) group by all"
-
-
 @_query("cross_broker_pairs", "select distinct a.l_partkey, a.l_suppkey as first_broker, b.l_suppkey as second_broker from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_suppkey < b.l_suppkey")
 def cross_broker_pairs(spark, sf_dir):
     """Brokers that list the same part: flagged in pairs, never merged. A part has few brokers."""
