@@ -20,7 +20,7 @@ from saltmarsh.llm._io import cut, sized, table
 
 #: Fixed rules of the contract: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD, CUT_EVERY = 0.85, 48, 1e-9, 0.5, 8
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD, CUT_EVERY = 0.85, 48, 1e-9, 0.5, 4
 #: Edges of a host that one task takes, pages likewise.
 EDGES_A_SALT = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
