@@ -19,7 +19,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,21 @@ SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/
 LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
+class Known(dict):
+    """Serialized ids by piece. A piece that isn't there is looked for among those from before, or learnt."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], before: dict[bytes, bytes]):
+        super().__init__()
+        self.learn, self.before = learn, before
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.learn(piece)
+        self[piece] = found
+        return found
+
+
 class Pieces:
     """Ids of texts by their pieces between ASCII white space."""
 
@@ -53,66 +68,35 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
         self.packs = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(LONG)]
+        self.known = Known(self.learn, {})
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Serialized ids of each text, the end id last."""
         if len(self.known) > CACHE:
-            self.known, self.before = {}, self.known
-        known, cut = self.known, [t.split() for t in texts]
-        missing = set().union(*cut).difference(known)
-        if self.before:
-            known.update({p: self.before[p] for p in missing.intersection(self.before)})
-            missing.difference_update(known)
-        gc.disable()  # a million small tuples and strings, no cycles
-        self.learn(missing)
-        gc.enable()
-        last = np.array([end], self.width).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) + last for pieces in cut]
-
-    def learn(self, missing: set[bytes]) -> None:
-        """Ids of new pieces; one of letters with marks after them is put together from its lowered letters and its marks."""
-        known, packs, tokenize = self.known, self.packs, self.tokenizer.model.tokenize
-        stems: list[tuple[bytes, bytes, bytes]] = []
-        whole: list[bytes] = []
-        simple = SIMPLE.fullmatch
-        for p in missing:
-            if (m := simple(p)) is None:
-                whole.append(p)
-                known[p] = b""
-                continue
-            stem, tail = m.groups()
-            plain = stem.isascii()
-            letters = stem.decode().lower()
-            if tail or not stem.islower() or not plain:
-                stem = letters.encode()
-                if stem != p:
-                    stems.append((p, stem, tail))
-                if tail and tail not in known:
-                    whole.append(tail)
-                    known[tail] = b""
-                if stem in known:
-                    continue
-            ids = [t.id for t in tokenize(letters if plain else stem.decode("latin-1").translate(LETTERS))]
-            known[stem] = packs[len(ids)](*ids) if len(ids) < LONG else np.array(ids, self.width).tobytes()
-        marked = [p for p in whole if b"|" in p]
-        whole = [p for p in whole if b"|" not in p]
-        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
-        for at in range(0, len(whole), 256):
-            part = whole[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, self.width)
-            edges = np.flatnonzero(ids == mark[0])
-            raw, width = ids.tobytes(), ids.itemsize
-            for piece, a, b in zip(part, [0, *(edges + 1).tolist()], [*edges.tolist(), len(ids)], strict=True):
-                known[piece] = raw[width * a : width * b]
-        for piece in marked:
-            known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.width).tobytes()
-        for piece, stem, tail in stems:
-            known[piece] = known[stem] + known[tail] if tail else known[stem]
+            self.known.before = {}
+            self.known = Known(self.learn, self.known)
+        last, get = np.array([end], self.width).tobytes(), self.known.__getitem__
+        gc.disable()  # a million small lists and strings, no cycles
+        try:
+            return [b"".join(map(get, t.split())) + last for t in texts]
+        finally:
+            gc.enable()
+
+    def learn(self, piece: bytes) -> bytes:
+        """Ids of a new piece; one of letters with marks after them is put together from its lowered letters and its marks."""
+        if (m := SIMPLE.fullmatch(piece)) is None:
+            return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.width).tobytes()
+        stem, tail = m.groups()
+        letters = stem.decode().lower()
+        if tail:
+            return self.known[letters.encode()] + self.known[tail]
+        if (low := letters.encode()) != piece:
+            return self.known[low]
+        ids = [t.id for t in self.tokenize(letters if piece.isascii() else piece.decode("latin-1").translate(LETTERS))]
+        return self.packs[len(ids)](*ids) if len(ids) < LONG else np.array(ids, self.width).tobytes()
 
 
 def pieces_of(path: str) -> Pieces:
