@@ -4,7 +4,7 @@ Trust starts from hosts with allowed pages and flows along links; distrust start
 against them. Both are set against a PageRank from all hosts' pages, so that a large host needs no more than a small one.
 Edges are links of pages to other hosts, and ties of a host to its parent domain (its last two labels) where that is a host
 itself or several hosts share it; a shared parent is a node of its own. Ranks are iterated until no host's changes by more than TOLERANCE, ROUNDS
-times at most, after which a share of DAMPING^ROUNDS (0.04 %) can be missing. A host is blocked where (distrust - trust) / base exceeds a threshold. Null urls and urls without ``://`` have an empty
+times at most, after which a share of DAMPING^ROUNDS (0.6 %) can be missing. A host is blocked where (distrust - trust) / base exceeds a threshold. Null urls and urls without ``://`` have an empty
 host and path, no rule, and are allowed; without any edge each host is judged by its own seeds; a table without pages
 gives no rows. Repeated rows count as pages of their own; of rules that tie in length none can fit the same url. Very long html is
 searched for links as a whole. Only ``page_id``, ``url`` and ``html`` are read. Edges and ranks stay in DataFrames; hosts of
@@ -20,7 +20,7 @@ from saltmarsh.llm._io import cut, sized, table
 
 #: Fixed rules of the contract: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD, CUT_EVERY = 0.85, 48, 1e-9, 0.5, 4
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD, CUT_EVERY = 0.85, 32, 1e-9, 0.5, 4
 #: Edges of a host that one task takes, pages likewise.
 EDGES_A_SALT = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
