@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 #: Largest side that is broadcast, by the estimated bytes of its rows, arrays and strings included; beyond it the join shuffles.
 BROADCAST_BYTES = 4 << 20
 #: Bytes of texts that go to a Python worker at once, where the session doesn't say otherwise.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
