@@ -110,11 +110,11 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the rows' offsets among the words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, ``[^\\x20\\x09-\\x0D]+`` if no other separating bytes are given, and the rows' offsets among them."""
     n = len(data)
     word = np.zeros(n + 2, bool)
-    word[1:-1] = ~_SPACE[data]
+    word[1:-1] = ~separators[data]
     first = word[1:-1] & ~word[:-2]
     last = word[1:-1] & ~word[2:]
     inner = offsets[1:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import contamination, imatch, langid, minhash, secrets, substrings, suffixtree, tokenfile, triebpe, urlrank
+from saltmarsh.llm import contamination, divergence, imatch, langid, limbcodes, linecrf, minhash, secrets, substrings, suffixtree, tokenfile, triebpe, urlrank
 from saltmarsh.llm._io import prepare
 
 _QUERIES = {
@@ -21,6 +21,9 @@ _QUERIES = {
     "op8_trie_bpe": triebpe.query,
     "op9_suffix_array_dedup": substrings.query,
     "op10_token_file": tokenfile.query,
+    "op11_source_divergence": divergence.query,
+    "op12_line_quality": linecrf.query,
+    "op13_limb_codes": limbcodes.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": contamination.ORACLE}
+    return {"op3_decontamination": contamination.ORACLE, "op11_source_divergence": divergence.ORACLE, "op13_limb_codes": limbcodes.ORACLE}
