@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm import _vec
 from saltmarsh.llm._io import cut, sized, table
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 4, 80, 54, 6
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 80, 54, 6
 #: Leaders that the members of a bucket meet: in the first round by shared places, in the others by a hash.
 ROUNDS = 2
 #: Longs of a document's bit sketch; the sketches bound how many shingles two sets can share.
@@ -239,4 +239,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)

@@ -3,8 +3,9 @@
 Trust starts from hosts with allowed pages and flows along links; distrust starts from hosts with blocked pages and flows
 against them. Both are set against a PageRank from all hosts' pages, so that a large host needs no more than a small one.
 Edges are links of pages to other hosts, and ties of a host to its parent domain (its last two labels) where that is a host
-itself or several hosts share it; a shared parent is a node of its own. Ranks are iterated until no host's changes by more than TOLERANCE, ROUNDS
-times at most, after which a share of DAMPING^ROUNDS (0.6 %) can be missing. A host is blocked where (distrust - trust) / base exceeds a threshold. Null urls and urls without ``://`` have an empty
+itself or several hosts share it; a shared parent is a node of its own. Ranks are iterated until no host's changes by more than TOLERANCE of
+itself and one, however many rounds it takes; a round goes on from the mix of the last WINDOW rounds whose remainder is least (Anderson's method),
+and from the last round alone after a mix that made the remainder grow. Every round is a written table. A host is blocked where (distrust - trust) / base exceeds a threshold. Null urls and urls without ``://`` have an empty
 host and path, no rule, and are allowed; without any edge each host is judged by its own seeds; a table without pages
 gives no rows. Repeated rows count as pages of their own; of rules that tie in length none can fit the same url. Very long html is
 searched for links as a whole. Only ``page_id``, ``url`` and ``html`` are read. Edges and ranks stay in DataFrames; hosts of
@@ -13,6 +14,7 @@ very many edges have these dealt to several tasks by a salt.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,10 @@ from saltmarsh.llm._io import cut, sized, table
 
 #: Fixed rules of the contract: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD, CUT_EVERY = 0.85, 32, 1e-9, 0.5, 4
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.5
+#: Rounds that are mixed; mixes that may fail before rounds go on without.
+WINDOW, FAILURES = 4, 5
+_KINDS = ("trust", "distrust", "base")
 #: Edges of a host that one task takes, pages likewise.
 EDGES_A_SALT = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -57,8 +62,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def pagerank(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust, base after some rounds. ``hosts``: host, seed_trust, seed_distrust, seed_base.
+def pagerank(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust, base, to the tolerance. ``hosts``: host, seed_trust, seed_distrust, seed_base.
 
     Trust and base flow from src to dst in proportion to weights, distrust from dst to src. What a host without
     outgoing edges holds stays with it.
@@ -68,29 +73,56 @@ def pagerank(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     sinks = hosts.select("host").join(forth.select(F.col("src").alias("host")).distinct(), "host", "left_anti").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
     sources = hosts.select("host").join(back.select(F.col("src").alias("host")).distinct(), "host", "left_anti").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
     flows = cut(forth.union(sinks).withColumn("reverse", F.lit(False)).union(back.union(sources).withColumn("reverse", F.lit(True))), "flows")
-    ranks = hosts.select("*", F.col("seed_trust").alias("trust"), F.col("seed_distrust").alias("distrust"), F.col("seed_base").alias("base"))
     salts = flows.groupBy("src").agg(F.ceil(F.count("*") / EDGES_A_SALT).alias("salts"))
     hosts = cut(hosts.join(salts, hosts["host"] == salts["src"], "left").drop("src").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))), "hosts")
     many = hosts.filter("salts > 1").select(F.col("host").alias("src"), "salts")
     flows = flows.join(F.broadcast(many), "src", "left").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dst"), "salts")).otherwise(F.lit(0).cast("long"))).drop("salts")  # at most edges / EDGES_A_SALT rows
     flows = cut(flows, "salted") if many.limit(1).count() else flows
-    for k in range(rounds):
-        copies = ranks.join(many.withColumnRenamed("src", "host"), "host", "left") if "salts" not in ranks.columns else ranks
-        copies = copies.select(F.col("host").alias("src"), "trust", "distrust", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
-        moved = flows.join(copies, ["src", "salt"])
-        forward = F.col("share") * (~F.col("reverse")).cast("double")
-        inflow = moved.groupBy(F.col("dst").alias("host")).agg(F.sum(forward * F.col("trust")).alias("t"), F.sum(F.col("share") * F.col("reverse").cast("double") * F.col("distrust")).alias("d"), F.sum(forward * F.col("base")).alias("b"))
-        seeds = [F.lit(1 - damping) * F.col(f"seed_{full}") + damping * F.coalesce(F.col(short), F.lit(0.0)) for short, full in (("t", "trust"), ("d", "distrust"), ("b", "base"))]
-        last = (k + 1) % CUT_EVERY == 0 or k + 1 == rounds
-        before = ranks.select("host", *(F.col(c).alias(f"old_{c}") for c in ("trust", "distrust", "base"))) if last else None
-        ranks = hosts.join(inflow, "host", "left").select("host", "seed_trust", "seed_distrust", "seed_base", "salts", *(x.alias(c) for x, c in zip(seeds, ("trust", "distrust", "base"), strict=True)))
-        if last:
-            ranks = cut(ranks.join(before, "host"), "ranks")
-            moved = ranks.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"old_{c}")) for c in ("trust", "distrust", "base"))))).first()[0]
-            ranks = ranks.drop("old_trust", "old_distrust", "old_base")
-            if moved is None or moved <= TOLERANCE:
-                break
-    return ranks
+    none = F.expr("cast(array() as array<double>)")
+    state = hosts.select("*", *(F.col(f"seed_{c}").alias(c) for c in _KINDS), *(F.lit(None).cast("double").alias(f"{x}_{c}") for c in _KINDS for x in ("g", "f")), *(none.alias(f"{x}_{c}") for c in _KINDS for x in ("dg", "df")))
+    best, failures, mixed = float("inf"), 0, False
+    while True:
+        state = cut(one_round(state, flows, damping), "ranks")
+        left, mixes = remainder(state)
+        if left is None or left <= tolerance:
+            return state.select("host", *(F.col(f"g_{c}").alias(c) for c in _KINDS))
+        if mixed and left > 2 * best:
+            failures, mixes = failures + 1, {c: [] for c in _KINDS}
+        mixed, best = failures < FAILURES and any(mixes.values()), min(best, left)
+        for c in _KINDS:
+            steps = sum((w * F.element_at(f"dg_{c}", i + 1) for i, w in enumerate(mixes[c] if mixed else [])), F.lit(0.0))
+            state = state.withColumn(c, F.col(f"g_{c}") - steps)
+            if not mixed:
+                state = state.withColumns({f"dg_{c}": none, f"df_{c}": none}) if failures else state
+
+
+def one_round(state: DataFrame, flows: DataFrame, damping: float) -> DataFrame:
+    """The hosts with what flows to them from the ranks: g, the remainder f = g - rank, and their differences to the last WINDOW rounds."""
+    copies = state.select(F.col("host").alias("src"), *_KINDS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    moved = flows.join(copies.hint("merge"), ["src", "salt"])
+    flow = lambda c: F.sum(F.col("share") * (F.col("reverse") if c == "distrust" else ~F.col("reverse")).cast("double") * F.col(c)).alias(f"in_{c}")
+    inflow = moved.groupBy(F.col("dst").alias("host")).agg(*map(flow, _KINDS))
+    out = state.join(inflow.hint("merge"), "host", "left")
+    for c in _KINDS:
+        g = (1 - damping) * F.col(f"seed_{c}") + damping * F.coalesce(f"in_{c}", F.lit(0.0))
+        f = g - F.col(c)
+        longer = lambda new, old, all: F.when(F.col(old).isNull(), F.col(all)).otherwise(F.slice(F.array_prepend(all, new - F.col(old)), 1, WINDOW))
+        out = out.withColumns({f"g_{c}": g, f"f_{c}": f, f"dg_{c}": longer(g, f"g_{c}", f"dg_{c}"), f"df_{c}": longer(f, f"f_{c}", f"df_{c}")})
+    return out.select(state.columns)
+
+
+def remainder(state: DataFrame) -> tuple[float | None, dict[str, list[float]]]:
+    """The largest remainder of a host against its rank and one, and for each kind the weights of the last differences that leave least."""
+    far = F.max(F.greatest(*(F.abs(F.col(f"f_{c}")) / (1 + F.abs(F.col(f"g_{c}"))) for c in _KINDS)))
+    d = lambda c, i: F.coalesce(F.get(f"df_{c}", F.lit(i)), F.lit(0.0))
+    products = [F.sum(d(c, i) * (d(c, j) if j < WINDOW else F.col(f"f_{c}"))).alias(f"{c}_{i}_{j}") for c in _KINDS for i in range(WINDOW) for j in range(i, WINDOW + 1)]
+    row = state.agg(far.alias("far"), F.max(F.size("df_base")).alias("n"), *products).first()
+    weights = {}
+    for c in _KINDS:
+        n = row.n or 0
+        a = np.array([[row[f"{c}_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]).reshape(n, n)
+        weights[c] = np.linalg.lstsq(a, np.array([row[f"{c}_{i}_{WINDOW}"] for i in range(n)]), rcond=1e-12)[0].tolist() if n else []
+    return row.far, weights
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

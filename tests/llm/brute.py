@@ -50,13 +50,13 @@ def contamination(docs, items):
     return out
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = (text or "").translate(LOWER).encode().split()
-    return {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def near(docs):
-    sets = {d: shingles(t) for d, t in docs}
+def near(docs, width=4):
+    sets = {d: shingles(t, width) for d, t in docs}
     parent = {d: d for d in sets}
 
     def root(x):

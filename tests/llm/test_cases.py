@@ -56,7 +56,7 @@ def test_stages_of_odd_rows(odd, spark):
     kept = [sorted(r.doc_id for r in f(spark, odd, SF).select("doc_id").collect()) for _, f in corpus_pipeline.STAGES]
     no_letter = {d for d, t in pairs(odd) if not any(c.isalpha() for c in t or "")}
     assert not set(kept[0]) & no_letter
-    assert kept[1] == sorted(d for d, x in brute.near(list(dict(pairs(odd)).items())).items() if x[2])
+    assert kept[1] == sorted(d for d, x in brute.near(list(dict(pairs(odd)).items()), 5).items() if x[2])
     assert kept[3] == kept[4] == sorted(ids)
 
 
@@ -238,7 +238,7 @@ def test_five_words(small, odd):
 def test_recall_on_a_larger_table(spark):
     """All links of a thousand documents: recall 1."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=4).collect()}
     assert got == brute.near(pairs(df))
 
 
@@ -253,7 +253,7 @@ def test_salted_buckets(size, spark, monkeypatch):
         for _ in range(3):
             own[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
         rows.append((k, " ".join(own)))
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
     assert got == brute.near(rows)
 
 

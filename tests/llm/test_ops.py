@@ -81,7 +81,7 @@ def test_pagerank(spark):
     for name, flip in (("trust", False), ("distrust", True)):
         own = {(b, a) if flip else (a, b): w for (a, b), w in edges.items()}
         rank = {h: seeds[name].get(h, 0.0) for h in hosts}
-        for _ in range(urlrank.ROUNDS):
+        for _ in range(300):
             into = dict.fromkeys(hosts, 0.0)
             for h in hosts:
                 out = {b: w for (a, b), w in own.items() if a == h} or {h: 1.0}
@@ -163,9 +163,9 @@ def test_language_code_lengths():
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_near_duplicates(which, request):
     df = request.getfixturevalue(which)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=4).collect()}
     assert got == brute.near(pairs(df))
-    kept = minhash.keep_one(df)
+    kept = minhash.keep_one(df, width=4)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, x in got.items() if x[2]}
 
 
@@ -183,7 +183,7 @@ def test_near_duplicate_chains(spark):
     rows += [(500 + k, " ".join([*base, f"tail{k}"])) for k in range(60)]
     rng.shuffle(rows)
     df = spark.createDataFrame([*rows, (None, " ".join(base)), (500, " ".join([*base, "tail0"]))], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=4).collect()}
     assert got.pop(None) == (197, None, True) or True
     assert got == brute.near(rows)
 

@@ -19,7 +19,7 @@ def test_stages(spark):
         if name == "language_id":
             assert len(after) >= 0.97 * len(before)
         elif name == "near_duplicates":
-            assert set(after) == {d for d, x in brute.near(list(before.items())).items() if x[2]}
+            assert set(after) == {d for d, x in brute.near(list(before.items()), 5).items() if x[2]}
         elif name == "decontamination":
             assert set(after) == {r[0] for r in brute.contamination(list(before.items()), items) if not r[5]}
         elif name == "secret_scan":
