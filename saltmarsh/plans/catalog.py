@@ -12,7 +12,7 @@ from saltmarsh.functions import classify as C
 from saltmarsh.functions import money as M
 from saltmarsh.functions import places as P
 from saltmarsh.operators import html, rules, similar, stats
-from saltmarsh.plans import listings
+from saltmarsh.plans import listings, mechanisms
 from saltmarsh.sources import sinks
 from saltmarsh.sources.tables import OBSERVATIONS_SQL, TABLES, observations, table
 from saltmarsh.streaming import ledger
@@ -432,8 +432,8 @@ _query("stream_ledger", "select user_id as listing_id, min(ts) as first_seen, ma
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _found | listings.queries()
+    return _found | listings.queries() | mechanisms.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | listings.oracle_sql()
+    return _sql | listings.oracle_sql() | mechanisms.oracle_sql()
