@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import places
 from saltmarsh.operators import paging, states
 from saltmarsh.sources.tables import table
+from saltmarsh.streaming import seen, timers
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -80,6 +81,20 @@ def status_rejects(spark, sf_dir):
     return states.split(_judged(spark, sf_dir))[1].select("o_custkey", "o_orderdate", "o_orderkey", "from_status", "status")
 
 
+# Streams ------------------------------------------------------------------------------------------------------------
+
+_query("stream_seen_ids", "select distinct user_id as listing_id from events")(seen.query)
+_query(
+    "stream_timers",
+    """with r as (select user_id as listing_id, epoch_ms(ts) as ms, event_id as seq, value from events), m as (select max(ms) - 21600000 as upto from r),
+  o as (select *, lag(value) over w as old, row_number() over w as rn, lead(ms) over w as nxt from r window w as (partition by listing_id order by ms, seq)),
+  gone as (select listing_id, ms + 8640000 as due, nxt from o, m where ms + 8640000 <= coalesce(nxt, upto)),
+  c as (select listing_id, ms, lead(ms) over (partition by listing_id order by ms, seq) as nxt from o where rn = 1 or value is distinct from old)
+select listing_id, due as "at", 'removed' as event from gone union all select listing_id, nxt, 'relisted' from gone where nxt is not null
+union all select listing_id, ms + 43200000, 'stale' from c, m where ms + 43200000 <= coalesce(nxt, upto)""",
+)(timers.query)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 
