@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import places
-from saltmarsh.operators import paging, states
+from saltmarsh.operators import groups, intervals, paging, states
+from saltmarsh.sources import sinks
+from saltmarsh.sources.shared import shared_dir
 from saltmarsh.sources.tables import table
 from saltmarsh.streaming import seen, timers
 
@@ -81,12 +84,61 @@ def status_rejects(spark, sf_dir):
     return states.split(_judged(spark, sf_dir))[1].select("o_custkey", "o_orderdate", "o_orderkey", "from_status", "status")
 
 
+# Groups, intervals, buckets -----------------------------------------------------------------------------------------
+
+_SCORE = (
+    "round(0.4 * (1 - levenshtein(a.title, b.title) / cast(greatest(length(a.title), length(b.title), 1) as double)) + 0.2"
+    " + 0.2 * cast(abs(a.price - b.price) <= 0.2 * greatest(a.price, b.price) as int) + 0.2 * cast(abs(a.cash_flow - b.cash_flow) <= 0.25 * greatest(a.cash_flow, b.cash_flow) as int), 6)"
+)
+
+
+@_query(
+    "duplicate_groups",
+    f"""with recursive p as (select p_partkey as id, p_name as title, p_brand as state, p_retailprice as price, p_size as cash_flow, min(p_partkey) over (partition by p_name, p_brand, p_retailprice, p_size) as rep from part),
+  c as (select * from p where id = rep),
+  h as (select a.id as a, b.id as b from c a join c b on a.state = b.state and a.id < b.id where {_SCORE} > 0.85),
+  l as (select a, b from h union select b, a from h),
+  r as (select id, id as g from c union select l.b, r.g from r join l on r.id = l.a),
+  m as (select id as rep, min(g) as g from r group by id),
+  f as (select p.id, p.rep, m.g, count(*) over (partition by m.g) as size from p join m on p.rep = m.rep)
+select id, rep, g as "group", size from f where size > 1""",
+)
+def duplicate_groups(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return groups.duplicate_groups(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("state"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("cash_flow")))
+
+
+@_query(
+    "ledger_as_of",
+    """with d as (select distinct cast(date_trunc('quarter', o_orderdate) as date) as date from orders union select max(cast(o_orderdate as date)) + 40 from orders),
+  o as (select *, cast(o_orderdate as date) as day from orders)
+select d.date, o_custkey, o_orderkey, o_orderstatus, o_totalprice, day as valid_from
+from d join o on day <= d.date qualify row_number() over (partition by d.date, o_custkey order by day desc, o_orderdate desc, o_orderkey desc) = 1""",
+)
+def ledger_as_of(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    quarters = orders.select(F.date_trunc("quarter", F.col("o_orderdate")).cast("date").alias("date"))
+    after = orders.agg(F.date_add(F.max("o_orderdate").cast("date"), 40).alias("date"))
+    held = intervals.as_of(intervals.validity(orders, "o_custkey", "o_orderdate", ("o_orderkey",)), quarters.union(after))
+    return held.select("date", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "valid_from")
+
+
+@_query("bucketed_upsert", "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate >= timestamp '1995-01-01' desc, o_orderdate desc, o_orderkey desc) = 1")
+def bucketed_upsert(spark, sf_dir):
+    """The orders before 1995 and those after it, folded into one table as two batches."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    new, to = F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"), f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    for batch in (orders.filter(~new), orders.filter(new)):
+        sinks.upsert_buckets(batch, to, "o_custkey", F.struct("o_orderdate", "o_orderkey").desc(), 16)
+    return spark.read.schema(orders.schema).parquet(to).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 _query("stream_seen_ids", "select distinct user_id as listing_id from events")(seen.query)
 _query(
     "stream_timers",
-    """with r as (select user_id as listing_id, epoch_ms(ts) as ms, event_id as seq, value from events), m as (select max(ms) - 21600000 as upto from r),
+    """with r as (select user_id as listing_id, epoch_us(ts) // 1000 as ms, event_id as seq, value from events), m as (select max(ms) - 21600000 as upto from r),
   o as (select *, lag(value) over w as old, row_number() over w as rn, lead(ms) over w as nxt from r window w as (partition by listing_id order by ms, seq)),
   gone as (select listing_id, ms + 8640000 as due, nxt from o, m where ms + 8640000 <= coalesce(nxt, upto)),
   c as (select listing_id, ms, lead(ms) over (partition by listing_id order by ms, seq) as nxt from o where rn = 1 or value is distinct from old)

@@ -1,13 +1,15 @@
 """Page loops and status machines against loops in plain Python, and every query of the module against its SQL."""
 
+import datetime
 import random
 
 import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from saltmarsh.operators import paging, rules, states
+from saltmarsh.operators import groups, intervals, paging, rules, states
 from saltmarsh.plans import mechanisms
+from saltmarsh.sources import sinks
 
 SF = "/root/testdata/sf0.01"
 
@@ -121,3 +123,60 @@ def test_machines(span, spark):
     good, bad = states.split(got)
     assert good.count() + bad.count() == len(rows) and bad.count() == sum(x[-1] in ("illegal", "unknown") for x in want)
     assert states.histories(df.limit(0), "id", ("at",), "status").collect() == []
+
+
+# Groups, intervals, buckets -----------------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(35)] + [(5, 5), (300, 299), (299, 300)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for x in root if any(find(a) == find(x) and a != b for a, b in edges)}
+    got = groups.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.id: r.group for r in got} == want
+    assert groups.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_as_of(spark):
+    rng = random.Random(5)
+    day = lambda k: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=k)
+    rows = [(rng.randrange(8), day(rng.choice([rng.randrange(2000), 5, 6])), k) for k in range(120)]
+    asked = [(day(k).date(),) for k in (-1, 0, 5, 6, 7, 100, 1999, 5000, 60_000)] + [(r[1].date(),) for r in rows[:10]]
+    held = intervals.validity(spark.createDataFrame(rows, "id long, at timestamp, seq long"), "id", "at", ("seq",))
+    got = sorted((r.date, r.id, r.seq) for r in intervals.as_of(held, spark.createDataFrame(asked, "date date")).collect())
+    want = []
+    for (d,) in set(asked):
+        for key in range(8):
+            before = [(at, seq) for k, at, seq in rows if k == key and at.date() <= d]
+            want += [(d, key, max(before)[1])] if before else []
+    assert got == sorted(want)
+
+
+def test_upsert_of_buckets(spark, tmp_path):
+    folder = f"file://{tmp_path}/table"
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.glob("table/*/*.parquet")}
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, at long, v string")
+    table = lambda: sorted((r.id, r["at"], r.v) for r in spark.read.schema("id long, at long, v string, bucket int").parquet(folder).collect())
+    first = rows(*((k, 1, f"a{k}") for k in range(40)), (3, 2, "later"), (3, 0, "earlier"))
+    last = F.col("at").desc()
+    sinks.upsert_buckets(first, folder, "id", last, 8)
+    want = {k: (k, 1, f"a{k}") for k in range(40)} | {3: (3, 2, "later")}
+    assert table() == sorted(want.values())
+    before = files()
+    assert sinks.upsert_buckets(first, folder, "id", last, 8) == [] and files() == before
+    second = rows((7, 5, None), (99, 5, "new"))
+    touched = sinks.upsert_buckets(second, folder, "id", last, 8)
+    assert 1 <= len(touched) <= 2 and table() == sorted((want | {7: (7, 5, None), 99: (99, 5, "new")}).values(), key=lambda r: r[:2])
+    stayed = {p for p in before if p.parent.name not in {f"bucket={b}" for b in touched}}
+    assert stayed and all(files()[p] == before[p] for p in stayed)
+    assert sinks.upsert_buckets(second, folder, "id", last, 8) == []
