@@ -32,18 +32,6 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def _both(name: str, sql: str) -> None:
-    """A query that is plain SQL in both engines."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if t in sql:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
-
-    _found[name], _sql[name] = run, sql
-
-
 def _obs(select: str, more: str = "") -> str:
     return f"with {OBSERVATIONS_SQL}{more} select l_orderkey, l_linenumber, {select} from obs"
 
@@ -198,7 +186,13 @@ def failures_by_type(spark, sf_dir):
     return by.withColumn("share", F.round(100.0 * F.col("n") / F.greatest(F.lit(1), F.sum("n").over(W.partitionBy())), 6))
 
 
-_both("run_summary", "select user_id % 50 as broker, count(*) as attempted, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as failed, cast(sum(case when event_type = 'purchase' then 1 else 0 end) as bigint) as listings, round(100e0 * sum(case when event_type <> 'error' then 1 else 0 end) / greatest(1, count(*)), 6) as success_rate from events group by user_id % 50")
+@_query("run_summary", "select user_id % 50 as broker, count(*) as attempted, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as failed, cast(sum(case when event_type = 'purchase' then 1 else 0 end) as bigint) as listings, round(100e0 * sum(case when event_type <> 'error' then 1 else 0 end) / greatest(1, count(*)), 6) as success_rate from events group by user_id % 50")
+def run_summary(spark, sf_dir):
+    events, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    rate = F.round(100.0 * F.count_if(kind != "error") / F.greatest(F.lit(1), F.count("*")), 6)
+    return events.groupBy((F.col("user_id") % 50).alias("broker")).agg(F.count("*").alias("attempted"), F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("listings"), rate.alias("success_rate"))
+
+
 
 # Dedup, upsert, anti-joins ------------------------------------------------------------------------------------------
 
@@ -223,8 +217,21 @@ def seen_anti_join(spark, sf_dir):
     return stats.unseen(item.filter("l_linenumber > 1"), item.filter("l_linenumber = 1"), "l_partkey", "l_suppkey")
 
 
-_both("within_broker_dedup", "select l_suppkey, l_partkey, min_by(l_orderkey, seq) as oldest, count(distinct l_orderkey) as aliases from (select l_suppkey, l_partkey, l_orderkey, l_orderkey * 10 + l_linenumber as seq from lineitem) x group by l_suppkey, l_partkey")
-_both("union_intersect_except", "select 'both' as kind, count(*) as n from (select l_partkey from lineitem where l_discount > 0.05 intersect select l_partkey from lineitem where l_tax > 0.04) x union all select 'only', count(*) from (select l_partkey from lineitem where l_discount > 0.05 except select l_partkey from lineitem where l_tax > 0.04) y union all select 'bag', count(*) from (select l_partkey from lineitem where l_discount > 0.05 union all select l_partkey from lineitem where l_tax > 0.04) z")
+@_query("within_broker_dedup", "select l_suppkey, l_partkey, min_by(l_orderkey, seq) as oldest, count(distinct l_orderkey) as aliases from (select l_suppkey, l_partkey, l_orderkey, l_orderkey * 10 + l_linenumber as seq from lineitem) x group by l_suppkey, l_partkey")
+def within_broker_dedup(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    found = rules.aliases(item, "l_suppkey", "l_partkey", "l_orderkey", "seq")
+    return found.select("l_suppkey", "l_partkey", F.col("canonical_url").alias("oldest"), (F.size("aliases") + 1).cast("long").alias("aliases"))
+
+
+@_query("union_intersect_except", "select 'both' as kind, count(*) as n from (select l_partkey from lineitem where l_discount > 0.05 intersect select l_partkey from lineitem where l_tax > 0.04) x union all select 'only', count(*) from (select l_partkey from lineitem where l_discount > 0.05 except select l_partkey from lineitem where l_tax > 0.04) y union all select 'bag', count(*) from (select l_partkey from lineitem where l_discount > 0.05 union all select l_partkey from lineitem where l_tax > 0.04) z")
+def union_intersect_except(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem")
+    cheap, taxed = item.filter("l_discount > 0.05").select("l_partkey"), item.filter("l_tax > 0.04").select("l_partkey")
+    count = lambda kind, rows: rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count("both", cheap.intersect(taxed)).union(count("only", rules.unknown_brokers(cheap, taxed))).union(count("bag", cheap.union(taxed)))
+
+
 
 # Statistics and exploring -------------------------------------------------------------------------------------------
 
@@ -259,10 +266,31 @@ def coverage_truthy(spark, sf_dir):
     return item.groupBy("l_suppkey").agg(stats.truthy("l_discount").alias("with_discount"), F.count("l_discount").alias("known_discount"), either.alias("with_financials"))
 
 
-_both("broker_rollup", "select l_suppkey as broker_id, s_name, count(distinct l_partkey) as total_observed, cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as bigint) as active, min(l_shipdate) as first_seen, max(l_shipdate) as last_seen from lineitem join supplier on l_suppkey = s_suppkey group by l_suppkey, s_name having count(distinct l_partkey) >= 5")
-_both("brokers_top_n", "select s_suppkey, s_name, s_acctbal from supplier order by s_acctbal desc, s_suppkey limit 20")
-_both("specialized_route", "select s_suppkey, case when contains(lower(s_name), '1') then 'first' when contains(lower(s_name), '2') then 'second' when contains(lower(s_name), '3') then 'third' else 'generic' end as route from supplier")
-_both("explorer_page", f"select o_orderkey, o_totalprice, n_name, c_mktsegment, o_orderdate from ({_SNAP}) s where n_name = 'FRANCE' and c_mktsegment = 'BUILDING' order by o_orderdate, o_orderkey limit 50 offset 50")
+@_query("broker_rollup", "select l_suppkey as broker_id, s_name, count(distinct l_partkey) as total_observed, cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as bigint) as active, min(l_shipdate) as first_seen, max(l_shipdate) as last_seen from lineitem join supplier on l_suppkey = s_suppkey group by l_suppkey, s_name having count(distinct l_partkey) >= 5")
+def broker_rollup(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = item.select(F.col("l_suppkey").alias("broker_id"), "s_name", F.col("l_partkey").alias("url"), F.when(F.col("l_linestatus") == "O", "active").alias("status"), F.col("l_returnflag").alias("state"), F.col("l_linestatus").alias("vertical"), F.col("l_shipdate").alias("at"))
+    found = rules.broker_records(rows, "broker_id", "s_name").filter("total_observed >= 5")
+    return found.select("broker_id", "s_name", "total_observed", F.col("active_listings").alias("active"), "first_seen", F.col("last_scraped").alias("last_seen"))
+
+
+@_query("brokers_top_n", "select s_suppkey, s_name, s_acctbal from supplier order by s_acctbal desc, s_suppkey limit 20")
+def brokers_top_n(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20)
+
+
+@_query("specialized_route", "select s_suppkey, case when contains(lower(s_name), '1') then 'first' when contains(lower(s_name), '2') then 'second' when contains(lower(s_name), '3') then 'third' else 'generic' end as route from supplier")
+def specialized_route(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", C.first_match(F.col("s_name"), {"first": ["1"], "second": ["2"], "third": ["3"]}, "generic").alias("route"))
+
+
+@_query("explorer_page", f"with s as ({_SNAP}) select o_orderkey, o_totalprice, n_name, c_mktsegment, o_orderdate from s where n_name = (select min(n_name) from s) and c_mktsegment = (select min(c_mktsegment) from s) order by o_orderdate, o_orderkey limit 50 offset 50")
+def explorer_page(spark, sf_dir):
+    rows = _snapshot(spark, sf_dir).select("o_orderkey", "o_totalprice", "n_name", "c_mktsegment", "o_orderdate")
+    state, segment = rows.agg(F.min("n_name"), F.min("c_mktsegment")).first()
+    return rules.explore(rows, "o_orderdate", ("o_orderkey",), page=2, n_name=state, c_mktsegment=segment)
+
+
 
 
 @_query("explorer_facets", f"select distinct n_name as state, c_mktsegment as business_type from ({_SNAP}) s")
@@ -275,7 +303,12 @@ def explorer_header(spark, sf_dir):
     return stats.header(_snapshot(spark, sf_dir), "o_custkey", "n_name", "o_orderdate")
 
 
-_both("explorer_feed", "select o_orderkey as id, coalesce(nullif(o_totalprice, 0), 0) as price, coalesce(nullif(o_orderstatus, ''), 'active') as status, cast(o_orderdate as date) as scraped_on from orders")
+@_query("explorer_feed", "select o_orderkey as id, coalesce(nullif(o_totalprice, 0), 0) as price, coalesce(nullif(o_orderstatus, ''), 'active') as status, cast(o_orderdate as date) as scraped_on from orders")
+def explorer_feed(spark, sf_dir):
+    price, status = F.nullif(F.col("o_totalprice"), F.lit(0)), P.or_else(F.col("o_orderstatus"), F.lit("active"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(price, F.lit(0)).alias("price"), status.alias("status"), F.col("o_orderdate").cast("date").alias("scraped_on"))
+
+
 
 # The ledger ---------------------------------------------------------------------------------------------------------
 
@@ -288,7 +321,12 @@ def price_history(spark, sf_dir):
     return found.select(F.col("o_custkey").alias("listing_id"), "o_orderkey", "old_price", "new_price", "pct")
 
 
-_both("status_transitions", f"select prev as from_status, o_orderstatus as to_status, count(*) as n, prev <> 'F' as legal from (select *, lag(o_orderstatus) over ({_O}) as prev from orders) x where prev is not null and prev <> o_orderstatus group by prev, o_orderstatus")
+@_query("status_transitions", f"select prev as from_status, o_orderstatus as to_status, count(*) as n, prev <> 'F' as legal from (select *, lag(o_orderstatus) over ({_O}) as prev from orders) x where prev is not null and prev <> o_orderstatus group by prev, o_orderstatus")
+def status_transitions(spark, sf_dir):
+    found = rules.status_changes(table(spark, sf_dir, "orders"), "o_custkey", ("o_orderdate", "o_orderkey"), "o_orderstatus")
+    return found.groupBy("from_status", "to_status").agg(F.count("*").alias("n")).withColumn("legal", F.col("from_status") != "F")
+
+
 
 
 @_query("first_last_seen", "select o_custkey as listing_id, min(o_orderdate) as first_seen, max(o_orderdate) as last_seen, count(*) as n from orders group by o_custkey")
@@ -296,8 +334,19 @@ def first_last_seen(spark, sf_dir):
     return stats.seen_span(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").withColumnRenamed("o_custkey", "listing_id")
 
 
-_both("price_drop_50", f"select o_custkey as listing_id, o_orderkey, o_totalprice < 0.5 * top as dropped from (select *, max(o_totalprice) over ({_O} rows between unbounded preceding and 1 preceding) as top from orders) x where top is not null")
-_both("stale_90", "select o_custkey as listing_id, max(o_orderdate) as last_change, cast(max(o_orderdate) as date) < date '1998-05-01' as stale from orders group by o_custkey")
+@_query("price_drop_50", f"select o_custkey as listing_id, o_orderkey, o_totalprice < 0.5 * top as dropped from (select *, max(o_totalprice) over ({_O} rows between unbounded preceding and 1 preceding) as top from orders) x where top is not null")
+def price_drop_50(spark, sf_dir):
+    order = ("o_orderdate", "o_orderkey")
+    marked = table(spark, sf_dir, "orders").withColumns({"dropped": rules.price_dropped("o_custkey", order, "o_totalprice"), "n": F.row_number().over(rules.in_order("o_custkey", order))})
+    return marked.filter("n > 1").select(F.col("o_custkey").alias("listing_id"), "o_orderkey", "dropped")
+
+
+@_query("stale_90", "select o_custkey as listing_id, max(o_orderdate) as last_change, cast(max(o_orderdate) as date) < date '1998-05-01' as stale from orders group by o_custkey")
+def stale_90(spark, sf_dir):
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("listing_id")).agg(F.max("o_orderdate").alias("last_change"))
+    return last.withColumn("stale", rules.stale(F.lit("active"), F.col("last_change"), F.lit("1998-07-29").cast("date")))
+
+
 
 
 @_query("relist", f"select o_custkey as listing_id, o_orderkey, cast(m - prev as bigint) as gap from (select *, lag(m) over (partition by o_custkey order by m, o_orderkey) as prev from (select o_custkey, o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) as m from orders) y) x where m - prev > 1")
@@ -319,10 +368,36 @@ def history_rows(spark, sf_dir):
     return stats.history(orders, "listing_id", ("o_orderdate", "o_orderkey"), {"status": "o_orderstatus", "priority": "o_orderpriority"}).drop("o_orderdate")
 
 
-_both("confidence", "select o_orderkey, round((case when o_orderstatus <> 'P' then 30 else 0 end + case when o_totalprice > 0 then 15 else 0 end + case when c_nationkey is not null then 15 else 0 end + case when c_acctbal > 0 then 20 else 0 end + case when c_mktsegment = 'BUILDING' then 10 else 0 end + case when year(o_orderdate) >= 1998 then 10 else 0 end) / 100.0, 2) + 0e0 as confidence from orders join customer on o_custkey = c_custkey")
-_both("flags", f"select o_orderkey, concat(case when drop50 then 'price_drop_50|' else '' end, case when suspicious then 'price_suspicious|' else '' end, case when stale then 'stale_90|' else '' end) as flags from (select o_orderkey, coalesce(o_totalprice < 0.5 * max(o_totalprice) over ({_O} rows between unbounded preceding and 1 preceding), false) as drop50, o_totalprice / greatest(abs(c_acctbal), 1) > 100 as suspicious, year(o_orderdate) < 1993 as stale from orders join customer on o_custkey = c_custkey) x")
-_both("scrape_cadence", "select o_custkey as listing_id, case when cast(max(o_orderdate) as date) < date '1998-06-01' then 'weekly' else 'daily' end as cadence from orders group by o_custkey")
-_both("schema_rejects", "select o_orderkey, case when o_orderpriority is null or o_orderpriority = '' then 'title' when o_totalprice <= 0 then 'price' else 'status' end as reason from orders where o_orderpriority is null or o_orderpriority = '' or o_totalprice <= 0 or o_orderstatus not in ('F', 'O')")
+@_query("confidence", "select o_orderkey, round((case when o_orderstatus <> 'P' then 30 else 0 end + case when o_totalprice > 0 then 15 else 0 end + case when c_nationkey is not null then 15 else 0 end + case when c_acctbal > 0 then 20 else 0 end + case when c_mktsegment = 'BUILDING' then 10 else 0 end + case when year(o_orderdate) >= 1998 then 10 else 0 end) / 100.0, 2) + 0e0 as confidence from orders join customer on o_custkey = c_custkey")
+def confidence(spark, sf_dir):
+    rows, as_of = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), F.lit("1999-01-01").cast("date")
+    seen = F.when(F.year("o_orderdate") >= 1998, as_of).otherwise(F.date_sub(as_of, 30))
+    some = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return rows.select("o_orderkey", rules.confidence(F.col("o_orderstatus") != "P", some("o_totalprice"), F.col("c_nationkey"), some("c_acctbal"), F.col("c_mktsegment") == "BUILDING", seen, as_of).alias("confidence"))
+
+
+@_query("flags", f"select o_orderkey, concat(case when drop50 then 'price_drop_50|' else '' end, case when suspicious then 'price_suspicious|' else '' end, case when stale then 'stale_90|' else '' end) as flags from (select o_orderkey, coalesce(o_totalprice < 0.5 * max(o_totalprice) over ({_O} rows between unbounded preceding and 1 preceding), false) as drop50, o_totalprice / greatest(abs(c_acctbal), 1) > 100 as suspicious, year(o_orderdate) < 1993 as stale from orders join customer on o_custkey = c_custkey) x")
+def flags(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("drop50", rules.price_dropped("o_custkey", ("o_orderdate", "o_orderkey"), "o_totalprice"))
+    rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    funds, no = F.greatest(F.abs(F.col("c_acctbal")), F.lit(1)), F.lit(False)  # over a hundred times the funds is suspicious here, and nothing is for being low
+    found = rules.flags(F.col("drop50"), no, F.year("o_orderdate") < 1993, no, F.lit(200), F.greatest("o_totalprice", 2 * funds), 10 * funds)
+    return rows.select("o_orderkey", F.array_join(F.transform(found, lambda f: F.concat(f, F.lit("|"))), "").alias("flags"))
+
+
+@_query("scrape_cadence", "select o_custkey as listing_id, case when cast(max(o_orderdate) as date) < date '1998-06-01' then 'weekly' else 'daily' end as cadence from orders group by o_custkey")
+def scrape_cadence(spark, sf_dir):
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("listing_id")).agg(F.max("o_orderdate").alias("last"))
+    return last.select("listing_id", rules.cadence(F.col("last"), F.lit("1998-07-01").cast("date")).alias("cadence"))
+
+
+@_query("schema_rejects", "select o_orderkey, case when o_orderpriority is null or o_orderpriority = '' then 'title' when o_totalprice <= 0 then 'price' else 'status' end as reason from orders where o_orderpriority is null or o_orderpriority = '' or o_totalprice <= 0 or o_orderstatus not in ('F', 'O')")
+def schema_rejects(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus"))
+    missing = rules.missing_field(F.col("o_orderpriority"), F.when(F.col("o_totalprice") > 0, "priced"), status)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.replace(missing, F.lit("broker"), F.lit("price")).alias("reason")).filter("reason is not null")
+
+
 
 # Similarity ---------------------------------------------------------------------------------------------------------
 
@@ -335,18 +410,9 @@ def trigram_similarity(spark, sf_dir):
     return similar.similar_names(table(spark, sf_dir, "pages").select(P.domain(F.col("url")).alias("name")).distinct())
 
 
-_PARTS = "select p_name as title, min(p_partkey) as id, min(p_brand) as state, max(p_retailprice) as price, max(p_size) as cash_flow from part group by p_name"
 _SCORE = "0.4 * (1 - levenshtein(a.title, b.title) / cast(greatest(length(a.title), length(b.title), 1) as double)) + 0.2 * cast(a.state = b.state as int) + 0.2 * cast(abs(a.price - b.price) <= 0.2 * greatest(a.price, b.price) as int) + 0.2 * cast(abs(a.cash_flow - b.cash_flow) <= 0.25 * greatest(a.cash_flow, b.cash_flow) as int)"
 
 
-@_query("similar_titles", f"with p as ({_PARTS}) select a.id as a, b.id as b, round({_SCORE}, 6) as score from p a join p b on a.state = b.state and a.id < b.id where {_SCORE} > 0.6")
-def similar_titles(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("state"), F.max("p_retailprice").alias("price"), F.max("p_size").alias("cash_flow"))
-    x, y = parts.alias("x"), parts.alias("y")
-    pairs = x.join(y, (F.col("x.state") == F.col("y.state")) & (F.col("x.id") < F.col("y.id"))).withColumn("s", similar.listing_score("x", "y"))
-    return pairs.filter("s > 0.6").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round("s", 6).alias("score"))
-
-
 _LISTINGS = "p as (select p_partkey as id, p_name as title, p_brand as state, p_retailprice as price, p_size as cash_flow, min(p_partkey) over (partition by p_name, p_brand, p_retailprice, p_size) as rep from part)"
 
 
@@ -359,9 +425,24 @@ def similar_listings(spark, sf_dir):
     return members.union(similar.linked_listings(classed.filter("id = rep").drop("rep")).withColumn("same", F.lit(False)))
 
 
-_both("cross_broker_flag", "select l_partkey, count(distinct l_suppkey) as brokers from lineitem group by l_partkey having count(distinct l_suppkey) > 1")
-_both("pattern_cache", "select user_id as domain, max_by(event_type, event_id) as pattern, count(*) as success_count, sum(value) >= 0 as any_value, min(ts) as first_seen, max(ts) as last_used from events group by user_id")
-_both("pattern_vote", "select grp, event_type as pattern from (select grp, event_type, row_number() over (partition by grp order by n desc, event_type) as r from (select user_id % 100 as grp, event_type, count(*) as n from events group by user_id % 100, event_type) x) y where r = 1")
+@_query("cross_broker_flag", "select l_partkey, count(distinct l_suppkey) as brokers from lineitem group by l_partkey having count(distinct l_suppkey) > 1")
+def cross_broker_flag(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return pairs.groupBy("l_partkey").agg(F.count("*").alias("brokers")).filter("brokers > 1")
+
+
+@_query("pattern_cache", "select user_id as domain, max_by(event_type, event_id) as pattern, count(*) as success_count, sum(value) >= 0 as any_value, min(ts) as first_seen, max(ts) as last_used from events group by user_id")
+def pattern_cache(spark, sf_dir):
+    found = rules.learned(table(spark, sf_dir, "events").withColumn("at", F.struct("event_id", "ts")), "user_id", "event_type", "value", "at")
+    return found.select(F.col("name").alias("domain"), "pattern", "success_count", (F.col("total_listings") >= 0).alias("any_value"), F.col("first_seen.ts").alias("first_seen"), F.col("last_used.ts").alias("last_used"))
+
+
+@_query("pattern_vote", "select grp, event_type as pattern from (select grp, event_type, row_number() over (partition by grp order by n desc, event_type) as r from (select user_id % 100 as grp, event_type, count(*) as n from events group by user_id % 100, event_type) x) y where r = 1")
+def pattern_vote(spark, sf_dir):
+    counted = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 100).alias("grp"), "event_type").agg(F.count("*").alias("n"))
+    return counted.groupBy("grp").agg(F.min(F.struct(-F.col("n"), "event_type")).getField("event_type").alias("pattern"))
+
+
 
 _SEGMENT = "^[a-zA-Z]+://[^/?#]*/([^/?#]*)"
 _SEEN = f"s as (select replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), 'www.', '') as name, regexp_extract(url, '{_SEGMENT}', 1) as pattern from pages), cache as (select name, pattern, n as success_count from (select *, row_number() over (partition by name order by n desc, pattern) as r from (select name, pattern, count(*) as n from s where length(name) % 2 = 0 group by name, pattern) x) y where r = 1)"
@@ -386,10 +467,10 @@ def csv_flatten(spark, sf_dir):
     return sinks.flat(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") > 100000).alias("large"), F.array("o_orderpriority", "o_orderstatus").alias("tags")))
 
 
-@_query("public_projection", _obs("md5(url) as listing_id, p_name as title, l_extendedprice as price, left(text, 40) as description, url as listing_url, broker_id as broker_account"))
+@_query("public_projection", _obs("md5(url) as listing_id, p_name as title, l_extendedprice as price, text as description, url as listing_url, broker_id as broker_account"))
 def public_projection(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return o.select(*KEY, F.md5("url").alias("listing_id"), F.col("p_name").alias("title"), F.col("l_extendedprice").alias("price"), F.left("text", F.lit(40)).alias("description"), F.col("url").alias("listing_url"), F.col("broker_id").alias("broker_account"))
+    return o.select(*KEY, F.md5("url").alias("listing_id"), F.col("p_name").alias("title"), F.col("l_extendedprice").alias("price"), F.col("text").alias("description"), F.col("url").alias("listing_url"), F.col("broker_id").alias("broker_account"))
 
 
 def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,7 +255,7 @@ def resolved_links(spark, sf_dir):
 
 # Filters ------------------------------------------------------------------------------------------------------------
 
-_WORDS = "concat(left(text, 60), case doc_id % 7 when 0 then ' Turnkey shop' when 1 then ' $5,000' when 2 then ' 3 bed home 2 bath' when 3 then ' MLS # 9 with price' when 4 then ' idx' else '' end)"
+_WORDS = "concat(text, case doc_id % 7 when 0 then ' Turnkey shop' when 1 then ' $5,000' when 2 then ' 3 bed home 2 bath' when 3 then ' MLS # 9 with price' when 4 then ' idx' else '' end)"
 _ESTATE = r"regexp_matches(w, '(?i)\bmls\s*#|\bidx\b|\d+\s*bed.*\d+\s*bath')"
 
 
