@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.functions import places
-from saltmarsh.operators import groups, intervals, paging, states
+from saltmarsh.functions import classify, places
+from saltmarsh.operators import groups, intervals, keywords, paging, states
 from saltmarsh.sources import sinks
 from saltmarsh.sources.shared import shared_dir
 from saltmarsh.sources.tables import table
@@ -133,6 +133,26 @@ def bucketed_upsert(spark, sf_dir):
     return spark.read.schema(orders.schema).parquet(to).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+# Vocabularies as tables ---------------------------------------------------------------------------------------------
+
+_SOLD = "concat(text, case doc_id % 6 when 0 then ' Lawn care, irrigation and HVAC' when 1 then ' heating, furnace' when 2 then ' Vending route; cafe' when 3 then ' janitorial and carpet cleaning' else '' end)"
+_N = {name: " + ".join(f"cast(contains(low, '{w}') as int)" for w in words) for name, words in classify.SCORED.items()}
+
+
+@_query(
+    "keyword_verticals",
+    f"""with t as (select doc_id, lower({_SOLD}) as low from documents), n as (select doc_id, low, {", ".join(f"{x} as n_{name}" for name, x in _N.items())} from t),
+  m as (select *, greatest({", ".join(f"n_{name}" for name in _N)}) as score from n)
+select doc_id, case {" ".join(f"when n_{name} = score then '{name}'" for name in _N)} end as vertical, cast(score as bigint) as score,
+  case {" ".join(f"when {' or '.join(f"contains(low, '{w}')" for w in words)} then '{name}'" for name, words in classify.BUSINESS.items())} end as business from m where score > 0""",
+)
+def keyword_verticals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SOLD).alias("text"))
+    scored = keywords.best(keywords.hits(docs, keywords.vocabulary(spark, classify.SCORED), "doc_id", "text"), "doc_id").withColumnRenamed("class", "vertical")
+    kinds = keywords.first(keywords.hits(docs, keywords.vocabulary(spark, classify.BUSINESS), "doc_id", "text"), "doc_id").withColumnRenamed("class", "business")
+    return scored.join(kinds, "doc_id", "left").select("doc_id", "vertical", "score", "business")
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 _query("stream_seen_ids", "select distinct user_id as listing_id from events")(seen.query)

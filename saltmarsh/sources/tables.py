@@ -69,15 +69,23 @@ def run_listings(spark: SparkSession, path: str) -> DataFrame:
     return brokers.select("run_id", "b.broker_id", "b.broker_name", F.explode("b.listings").alias("listing")).select("run_id", "broker_id", "broker_name", "listing.*")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with their number from 0, in the order of their partitions: only the partitions' counts are put in one order."""
+    at = rows.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = at.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_o"))  # a row for each partition
+    return at.join(F.broadcast(starts), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
 def plain_brokers_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Brokers (id, name, url, expected_listings) by the shorter list of url columns; the row's number stands in for an id."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = numbered(spark.read.option("header", True).csv(path), "_row")
     url = next((c for c in ("listings_url", "active lisitng url", "url", "companyurl") if c in raw.columns), None)
     if url is None:
         raise ValueError(f"no url column among {raw.columns}")
     count = F.col("activeListingsCount").try_cast("double") if "activeListingsCount" in raw.columns else F.lit(None).cast("double")
     name = next((F.col(c) for c in ("companyname", "broker_name", "name") if c in raw.columns), F.lit(None))
-    own = F.col("account") if "account" in raw.columns else F.monotonically_increasing_id()
+    own = F.col("account") if "account" in raw.columns else F.col("_row")
     out = raw.select(own.cast("string").alias("id"), F.coalesce(name.cast("string"), F.lit("Unknown")).alias("name"), F.col(f"`{url}`").alias("url"), count.cast("bigint").alias("expected_listings"))
     out = out.filter("url is not null and url != ''").orderBy(F.desc_nulls_last("expected_listings"), "id")
     return out.limit(limit) if limit else out
@@ -120,7 +128,7 @@ def downloaded_listings(spark: SparkSession, path: str, url: str) -> DataFrame:
     raw = spark.read.option("header", True).option("multiLine", True).csv(path)
     named = lambda *words: [F.col(f"`{c}`") for c in raw.columns if any(w in c.lower() for w in words)]
     first = lambda columns: F.coalesce(*columns, F.lit(None).cast("string"))
-    rows = raw.withColumn("_row", F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1)  # one file: its order is its rows' number
+    rows = numbered(raw, "_row")
     text = F.concat_ws(" | ", *(F.concat(F.lit(f"{c}: "), F.col(f"`{c}`")) for c in raw.columns))
     title, price, at = first(named("name", "title", "business", "description")), first(named("price", "asking", "value")), first(named("location", "city", "state", "area"))
     out = rows.select(

@@ -7,9 +7,10 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from saltmarsh.operators import groups, intervals, paging, rules, states
+from saltmarsh.functions import classify
+from saltmarsh.operators import groups, intervals, keywords, paging, rules, states
 from saltmarsh.plans import mechanisms
-from saltmarsh.sources import sinks
+from saltmarsh.sources import sinks, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -180,3 +181,30 @@ def test_upsert_of_buckets(spark, tmp_path):
     stayed = {p for p in before if p.parent.name not in {f"bucket={b}" for b in touched}}
     assert stayed and all(files()[p] == before[p] for p in stayed)
     assert sinks.upsert_buckets(second, folder, "id", last, 8) == []
+
+
+# Vocabularies, row numbers ------------------------------------------------------------------------------------------
+
+
+def test_keywords(spark):
+    rng = random.Random(12)
+    some = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 7)))
+    classes = {f"c{k}": [some() for _ in range(40)] for k in range(20)} | classify.SCORED | {"short": ["a", "é ", ""]}
+    texts = [(k, rng.choice(["", "Lawn Care ", "HVAC and vending "]) + "".join(rng.choice("ABCÉabcé ") for _ in range(rng.randrange(0, 300)))) for k in range(60)] + [(100, None), (101, "")]
+    words = keywords.vocabulary(spark, classes)
+    df = spark.createDataFrame(texts, "id long, text string")
+    found = keywords.hits(df, words, "id", "text")
+    got = sorted((r.id, r["class"], r.keyword) for r in found.collect())
+    assert got == sorted((k, name, w.lower()) for k, t in texts if t for name, own in classes.items() for w in dict.fromkeys(own) if w and w.lower() in t.lower())
+    scored = keywords.hits(df, keywords.vocabulary(spark, classify.SCORED), "id", "text")
+    plain = {r.id: r.v for r in df.select("id", classify.best_score(F.col("text")).alias("v")).collect() if r.v}
+    assert {r.id: r["class"] for r in keywords.best(scored, "id").collect()} == plain
+    kinds = keywords.hits(df, keywords.vocabulary(spark, classify.BUSINESS), "id", "text")
+    plain = {r.id: r.v for r in df.select("id", classify.first_match(F.col("text"), classify.BUSINESS, None).alias("v")).collect() if r.v}
+    assert {r.id: r["class"] for r in keywords.first(kinds, "id").collect()} == plain
+    assert keywords.hits(df, words.limit(0), "id", "text").collect() == []
+
+
+def test_row_numbers(spark):
+    df = spark.range(0, 1000, 1, 7).filter("id % 3 = 1")
+    assert [r.n for r in tables.numbered(df, "n").orderBy("id").collect()] == list(range(333))
