@@ -2,7 +2,7 @@
 
 Every document is scanned once. Short grams at strided positions, of which each window holds one, are looked up in a
 bitmap of the test items' grams (a literal of bounded size, two bits a gram); only documents with a hit there unfold all their windows, which
-are joined as whole strings with the test windows, so no hit rests on a hash. Null and empty texts have no words and are
+are joined as whole strings with the test windows, so no hit rests on a hash; which rows go is then told by a 64-bit hash of id and text. Null and empty texts have no words and are
 clean; items without words have no window; without items every document is clean; repeated rows are judged one by one, and
 items that share a window (ties) all count. A very long text is one row of words until it is unfolded into windows.
 Only ``doc_id``, ``text`` and ``item_id``, ``text`` are read; further columns, of any name, pass through ``remove_documents``

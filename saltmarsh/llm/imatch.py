@@ -11,7 +11,8 @@ texts' own levels.
 
 Texts whose terms all lie outside the band are fingerprinted by the set of all their terms; texts without a word (null ones
 too) by ``-``. The next document is by ascending doc_id (rows without an id first, equal ids by text), after the last the
-first; a lone document is its own next. Rows reach their neighbours in buckets dealt to tasks by range, each with the first row of
+first; a lone document is its own next. Very long texts are fingerprinted by all their terms; terms that tie in frequency are in the
+band or not together; repeated rows are rows of their own; an empty table gives no rows. Only ``doc_id`` and ``text`` are read. Rows reach their neighbours in buckets dealt to tasks by range, each with the first row of
 the next.
 """
 

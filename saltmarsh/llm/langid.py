@@ -8,7 +8,7 @@ sum of its bytes' under these statistics (without exclusions). The language of t
 Training is a classifier's fit on a bounded sample: labelled documents, about SAMPLE of them, chosen by a hash of the id.
 Every gram of the sample counts. Null texts and texts without a letter are ``und`` with score 0; without
 labelled documents every text is ``und``. Ties go to the language first in order. Repeated rows are judged one by one; very
-long texts are scored whole. Of the documents only ``doc_id``, ``text`` and, in training, ``lang`` are read; ``keep_languages``
+long texts are scored whole; an empty table gives no rows. Of the documents only ``doc_id``, ``text`` and, in training, ``lang`` are read; ``keep_languages``
 gives back all columns, of any name, as they were.
 """
 

@@ -11,7 +11,7 @@ by a hash. Buckets that after these rounds still hold more than one component ar
 Null and empty texts have an empty set, link with nothing and are kept. Texts of fewer words than a shingle are one
 shingle; very long texts are one set as all others. Rows without an id link with nothing. Rows that repeat an id count as one node;
 of texts that tie as copies the smallest id is kept. Other columns aren't read, and ``keep_one`` gives them back as they were.
-Large buckets are dealt to several tasks by a salt, their leaders copied to each.
+An empty table gives no rows. Large buckets are dealt to several tasks by a salt, their leaders copied to each.
 """
 
 from __future__ import annotations

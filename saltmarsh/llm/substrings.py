@@ -16,7 +16,8 @@ be shorter than PASSAGE and aren't counted.
 
 Null and empty texts, and texts shorter than ``length``, have no windows and stay as they are. Repeated rows count as
 occurrences of one another. Two different windows of equal 64-bit fingerprint would count as equal (2^-64 a pair).
-Only ``doc_id`` and ``text`` are read.
+Very long texts are cut into windows as all others; of strings that tie all occurrences are removed, the first too; an
+empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

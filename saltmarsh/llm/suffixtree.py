@@ -13,7 +13,9 @@ by a join. In the same way words of a share FREQUENT of all tokens are broadcast
 64-bit hashes of the words.
 
 Null and empty texts are the end token alone. Without training documents the base is uniform over one type and the tree
-gives every byte 1/256. Repeated rows train and are scored one by one. Only ``doc_id`` and ``text`` are read.
+gives every byte 1/256. Repeated rows train and are scored one by one. Very long texts are
+scored whole, half a megabyte or one text at a time; counts that tie are kept or dropped by the same test; an empty table gives no rows.
+Only ``doc_id`` and ``text`` are read, so further columns of any name may be there.
 """
 
 from __future__ import annotations

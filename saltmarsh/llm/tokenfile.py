@@ -8,7 +8,9 @@ Spark's writer commits the files, so a lost executor leaves no half-written shar
 
 Ids come from the tokenizers library. No token spans ASCII white space under this vocabulary's pre-tokenizer, so each
 distinct piece between white space is encoded once per worker, up to a cache of bounded size. Null and empty texts have the end id
-alone; rows without an id come first; repeated ids follow one another, ordered by text hash; an empty table gives no records.
+alone; rows without an id come first; repeated ids follow one another, ordered by text hash; an empty table gives no records. Very long texts
+are one record as all others; further columns, of any name, aren't read. Ids are two bytes wide in the files, which holds for vocabularies of
+up to 65,536 ids, and pieces are put together by this vocabulary's own normaliser and pre-tokenizer.
 """
 
 from __future__ import annotations

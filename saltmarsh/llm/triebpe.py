@@ -8,7 +8,8 @@ that words share are encoded once. Two tokens may follow one another if merging
 Texts are cut into lines and at single spaces, where no pre-token can span; the pieces' ids are kept in a cache of bounded size
 per worker, new pieces go through the pre-tokenizer's pattern and the trie. Texts with other white space or with special
 tokens go through the pattern as a whole. Null and empty texts have no ids and decode to the empty text; repeated rows are
-encoded one by one; very long texts are encoded whole. Only ``doc_id`` and ``text`` are read by ``digest``.
+encoded one by one; very long texts are encoded whole; merges that tie go left to right, as the
+library's do; an empty table gives no rows. Only ``doc_id`` and ``text`` are read by ``digest``.
 """
 
 from __future__ import annotations
