@@ -3,8 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, in the columns of ``documents``; the last one
 returns doc_id with the ids of each kept text and whether they decode to it. Stages are written as Parquet in the
 cluster's shared folder and reread. Language ID drops texts that have no language, an unsure one, or one that isn't learned; near-dedup keeps the
-document of the smallest id of each group; decontamination drops contaminated documents; the secret scan keeps every
+document of the smallest id of each group (alike are texts whose sets of five successive words have a similarity of 0.8); decontamination drops contaminated documents; the secret scan keeps every
 document, with its secrets replaced by a mark, and sets n_chars anew.
+
+Null and empty texts and texts without a letter go in the first stage; the later ones, called by themselves, keep them: they are like no other
+document, have no window of the benchmark and no secret, and encode to no ids. Very long texts are handled whole in every
+stage. Repeated rows of one id stay or go together, copies under different ids leave the smallest id, and ties in a language's score go to the
+language first in order. An empty table gives no rows in any stage. Further columns, of any name, pass the first four
+stages as they are.
 """
 
 from __future__ import annotations

@@ -6,12 +6,13 @@ again replaces itself. Every COMPACT batches the states so far are merged into o
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saltmarsh.sources.shared import shared_dir
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 COMPACT = 8
 
@@ -62,5 +63,4 @@ def run(spark: SparkSession, source: str, to: str, files: int = 4) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.environ.get('TMPDIR', '/tmp')}"
-    return run(spark, f"{sf_dir}/events.parque[t]", f"{shared}/ledger-{uuid.uuid4().hex}").drop("mark")
+    return run(spark, f"{sf_dir}/events.parque[t]", f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}").drop("mark")
