@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify, places
-from saltmarsh.operators import groups, intervals, keywords, paging, states
+from saltmarsh.operators import groups, intervals, keywords, paging, sketches, states
 from saltmarsh.sources import sinks
 from saltmarsh.sources.shared import shared_dir
 from saltmarsh.sources.tables import table
@@ -153,6 +153,25 @@ def keyword_verticals(spark, sf_dir):
     return scored.join(kinds, "doc_id", "left").select("doc_id", "vertical", "score", "business")
 
 
+# Sketches -----------------------------------------------------------------------------------------------------------
+
+
+@_query(
+    "sketched_quarters",
+    "select cast(date_trunc('quarter', o_orderdate) as date) as period, count(*) as n, count(distinct o_custkey) as listings, true as distinct_within, true as median_within from orders group by 1",
+)
+def sketched_quarters(spark, sf_dir):
+    """Quarters from the sketches of their days, with exact counts beside, and whether the sketches keep to their bounds."""
+    orders = table(spark, sf_dir, "orders")
+    quarter = lambda c: F.date_trunc("quarter", F.col(c)).cast("date")
+    found = sketches.merged(sketches.daily(orders, "o_orderdate", "o_custkey", "o_totalprice"), quarter("day"))
+    found = found.select("period", "n", sketches.distinct().alias("about"), sketches.quantile(0.5).alias("middle"))
+    both = orders.select(quarter("o_orderdate").alias("period"), "o_custkey", "o_totalprice").join(found, "period")
+    exact = both.groupBy("period", "n", "about").agg(F.countDistinct("o_custkey").alias("listings"), F.avg((F.col("o_totalprice") <= F.col("middle")).cast("double")).alias("rank"))
+    near = F.abs(F.col("about") - F.col("listings")) <= sketches.DISTINCT_ERROR * F.col("listings")
+    return exact.select("period", "n", "listings", near.alias("distinct_within"), (F.abs(F.col("rank") - 0.5) <= sketches.RANK_ERROR).alias("median_within"))
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 _query("stream_seen_ids", "select distinct user_id as listing_id from events")(seen.query)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify
-from saltmarsh.operators import groups, intervals, keywords, paging, rules, states
+from saltmarsh.operators import groups, intervals, keywords, paging, rules, sketches, states
 from saltmarsh.plans import mechanisms
 from saltmarsh.sources import sinks, tables
 
@@ -208,3 +208,21 @@ def test_keywords(spark):
 def test_row_numbers(spark):
     df = spark.range(0, 1000, 1, 7).filter("id % 3 = 1")
     assert [r.n for r in tables.numbered(df, "n").orderBy("id").collect()] == list(range(333))
+
+
+def test_sketches_merge(spark):
+    """Any grouping of days gives what the whole gives, within the bounds; nulls are in no sketch."""
+    rng = random.Random(3)
+    rows = [(datetime.datetime(2026, 1, 1 + k % 20), rng.choice([None, *range(3000)]), rng.choice([None, rng.uniform(0, 1000)])) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "at timestamp, id long, v double")
+    days = sketches.daily(df, "at", "id", "v")
+    assert days.count() == 20
+    ids, values = len({r[1] for r in rows} - {None}), sorted(r[2] for r in rows if r[2] is not None)
+    once = sketches.merged(days, F.lit("all"))
+    halves = sketches.merged(days, F.dayofmonth("day") % 2)
+    twice = sketches.merged(halves.withColumnRenamed("period", "half"), F.lit("all"))
+    for whole in (once, twice):
+        r = whole.select("n", sketches.distinct().alias("ids"), *(sketches.quantile(q).alias(f"q{k}") for k, q in enumerate((0.1, 0.5, 0.9)))).first()
+        assert r.n == len(rows) and abs(r.ids - ids) <= sketches.DISTINCT_ERROR * ids
+        for x, q in ((r.q0, 0.1), (r.q1, 0.5), (r.q2, 0.9)):
+            assert abs(sum(v <= x for v in values) / len(values) - q) <= sketches.RANK_ERROR
