@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify, places
-from saltmarsh.operators import groups, intervals, keywords, paging, sketches, states
+from saltmarsh.operators import far, groups, intervals, keywords, paging, sketches, states
 from saltmarsh.sources import sinks
 from saltmarsh.sources.shared import shared_dir
 from saltmarsh.sources.tables import table
@@ -172,6 +172,19 @@ def sketched_quarters(spark, sf_dir):
     return exact.select("period", "n", "listings", near.alias("distinct_within"), (F.abs(F.col("rank") - 0.5) <= sketches.RANK_ERROR).alias("median_within"))
 
 
+# Far pages ----------------------------------------------------------------------------------------------------------
+
+
+@_query(
+    "explorer_far_page",
+    "select o_orderkey, o_orderdate, o_totalprice from (select *, row_number() over (order by o_orderdate, o_orderkey) as rn, count(*) over () as n from orders) x where rn > 50 * ((n - 1) // 50)",
+)
+def explorer_far_page(spark, sf_dir):
+    """The last page of fifty orders by date."""
+    found = far.ranged(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), ("o_orderdate", "o_orderkey"))
+    return found.page((found.total - 1) // 50 + 1)
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 _query("stream_seen_ids", "select distinct user_id as listing_id from events")(seen.query)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify
-from saltmarsh.operators import groups, intervals, keywords, paging, rules, sketches, states
+from saltmarsh.operators import far, groups, intervals, keywords, paging, rules, sketches, states
 from saltmarsh.plans import mechanisms
 from saltmarsh.sources import sinks, tables
 
@@ -226,3 +226,17 @@ def test_sketches_merge(spark):
         assert r.n == len(rows) and abs(r.ids - ids) <= sketches.DISTINCT_ERROR * ids
         for x, q in ((r.q0, 0.1), (r.q1, 0.5), (r.q2, 0.9)):
             assert abs(sum(v <= x for v in values) / len(values) - q) <= sketches.RANK_ERROR
+
+
+def test_far_pages(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, *range(40)])) for k in range(1003)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    found = far.ranged(df, ("v", "id"), 16)
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert found.total == 1003 and max(found.counts) < 300
+    for page in (1, 2, 7, 20, 21, 22):
+        assert [tuple(r) for r in found.page(page).collect()] == want[50 * (page - 1) : 50 * page]
+        held, _ = found.ranges_of(page, 50)
+        assert sum(found.counts[k] for k in held) <= 400  # rows that are read
+    assert far.ranged(df.limit(0), ("v", "id"), 4).page(1).collect() == []
