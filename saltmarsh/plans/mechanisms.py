@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify, places
-from saltmarsh.operators import far, groups, intervals, keywords, paging, sketches, states
+from saltmarsh.operators import editdist, far, groups, intervals, keywords, paging, sketches, states
 from saltmarsh.sources import sinks
 from saltmarsh.sources.shared import shared_dir
 from saltmarsh.sources.tables import table
@@ -133,6 +133,21 @@ def bucketed_upsert(spark, sf_dir):
     return spark.read.schema(orders.schema).parquet(to).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+_HEADED = "select coalesce(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') as block, trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)', 1)), '[^a-z]+', ' ', 'g')) as text from pages"
+
+
+@_query(
+    "near_titles",
+    f"with t as (select distinct block, text from ({_HEADED}) x where text <> ''), d as (select a.block, a.text as a, b.text as b, levenshtein(a.text, b.text) as distance from t a join t b on a.block = b.block and a.text < b.text)"
+    " select block, a, b, cast(distance as int) as distance from d where distance < 0.2 * greatest(length(a), length(b)) - 1e-9",
+)
+def near_titles(spark, sf_dir):
+    """Titles of all stored pages that differ in less than a fifth of the longer one, by the page's language."""
+    text = F.trim(F.regexp_replace(F.lower(F.regexp_extract("html", "<title>([^<]*)", 1)), "[^a-z]+", " "))
+    titles = table(spark, sf_dir, "pages").select(F.coalesce(F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.lit("")).alias("block"), text.alias("text"))
+    return editdist.near_texts(titles, 0.8)
+
+
 # Vocabularies as tables ---------------------------------------------------------------------------------------------
 
 _SOLD = "concat(text, case doc_id % 6 when 0 then ' Lawn care, irrigation and HVAC' when 1 then ' heating, furnace' when 2 then ' Vending route; cafe' when 3 then ' janitorial and carpet cleaning' else '' end)"
