@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify, places
 from saltmarsh.operators import editdist, far, groups, intervals, keywords, paging, sketches, states
-from saltmarsh.sources import sinks
+from saltmarsh.sources import sinks, tables, workbooks
 from saltmarsh.sources.shared import shared_dir
-from saltmarsh.sources.tables import table
+from saltmarsh.sources.tables import money, table
 from saltmarsh.streaming import seen, timers
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,25 @@ def keyword_verticals(spark, sf_dir):
     return scored.join(kinds, "doc_id", "left").select("doc_id", "vertical", "score", "business")
 
 
+# Workbooks ----------------------------------------------------------------------------------------------------------
+
+_AT = "case p_size % 3 when 0 then 'New York, NY' when 1 then 'Austin, TX' end"
+
+
+@_query(
+    "workbook_listings",
+    f"""with p as (select *, {_AT} as place, concat('$', format('{{:,.2f}}', p_retailprice)) as price_text from part)
+select p_name as title, round(p_retailprice, 2) as price, price_text, place as location, split_part(place, ', ', 1) as city, split_part(place, ', ', 2) as state,
+  concat('Part: ', p_partkey, ' | Business Name: ', p_name, ' | Size: ', p_size, ' | Asking: ', price_text, case when place is null then '' else concat(' | City: ', place) end) as description from p""",
+)
+def workbook_listings(spark, sf_dir):
+    """All parts as rows of workbook files, read back as downloaded listings."""
+    price, to = F.concat(F.lit("$"), money(F.col("p_retailprice"))), f"{shared_dir(spark)}/workbooks-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("Part"), F.col("p_name").alias("Business Name"), F.col("p_size").alias("Size"), price.alias("Asking"), F.expr(_AT).alias("City"))
+    workbooks.write(rows, to)
+    return tables.workbook_listings(spark, to, "https://files.example").select("title", "price", "price_text", "location", "city", "state", "description")
+
+
 # Sketches -----------------------------------------------------------------------------------------------------------
 
 

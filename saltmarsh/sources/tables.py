@@ -8,6 +8,7 @@ from saltmarsh.functions import places
 from saltmarsh.functions.classify import is_business
 from saltmarsh.functions.money import scaled_money
 from saltmarsh.functions.shown import resolved
+from saltmarsh.sources.workbooks import Workbooks
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -136,3 +137,29 @@ def downloaded_listings(spark: SparkSession, path: str, url: str) -> DataFrame:
         places.state(at).alias("state"), F.left(text, F.lit(500)).alias("description"), F.concat(F.lit(f"{url}#row"), F.col("_row").cast("string")).alias("url"), text.alias("text"),
     )
     return out.filter(is_business(F.lower("text")))
+
+
+def workbook_listings(spark: SparkSession, path: str, url: str) -> DataFrame:
+    """Listings of the first sheet of each workbook of a folder, by the same rules as those of a downloaded CSV; the first row
+    with a cell names the columns, rows are numbered from the one after it. ``url`` is the folder's, to which the file's name is added.
+    Columns without a name and rows that couldn't be read are left out (``spark.read.format("workbooks")`` shows their errors)."""
+    spark.dataSource.register(Workbooks)
+    cells = spark.read.format("workbooks").option("path", path).load().filter("error is null").drop("error")
+    top = cells.groupBy("path").agg(F.min_by(F.struct("row", "cells"), "row").alias("top"))  # a row for each file
+    both = cells.join(top, "path").filter("row > top.row")
+    names = F.map_from_entries("top.cells")
+    held = F.filter(F.transform("cells", lambda c: F.struct(F.try_element_at(names, c.col).alias("name"), c.value.alias("value"))), lambda c: c["name"].isNotNull())
+    rows = both.withColumn("held", held).withColumn("_row", F.col("row") - F.col("top.row") - 1)
+    text = F.concat_ws(" | ", F.transform("held", lambda c: F.concat(c["name"], F.lit(": "), c["value"])))
+
+    def first(*words: str) -> Column:
+        fits = lambda c: F.lower(c["name"]).rlike("|".join(words))
+        return F.try_element_at(F.filter("held", fits), F.lit(1)).value
+
+    rows = rows.withColumns({"text": text, "own": first("name", "title", "business", "description"), "price_text": first("price", "asking", "value"), "location": first("location", "city", "state", "area")})
+    file = F.concat(F.lit(url.rstrip("/") + "/"), F.element_at(F.split("path", "/"), -1))
+    out = rows.select(
+        places.or_else(F.col("own"), F.concat(F.lit("Business Listing "), (F.col("_row") + 1).cast("string"))).alias("title"), scaled_money(F.col("price_text")).alias("price"), "price_text", "location",
+        places.city(F.col("location")).alias("city"), places.state(F.col("location")).alias("state"), F.left("text", F.lit(500)).alias("description"), F.concat(file, F.lit("#row"), F.col("_row").cast("string")).alias("url"), "text",
+    )
+    return out.filter(is_business(F.lower("text")))
