@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from saltmarsh.functions.once import once
+
 #: Fixed patterns.
 PRICE = r"\$[\d,]+(?:\.\d{2})?"
 REVENUE = (r"revenue[:\s]*\$?([\d,]+)", r"gross sales[:\s]*\$?([\d,]+)", r"annual sales[:\s]*\$?([\d,]+)", r"sales[:\s]*\$?([\d,]+)")
@@ -18,7 +20,7 @@ def number(text: Column) -> Column:
 
 def whole_price(text: Column) -> Column:
     """Digits, commas, dollar signs only; K and M are not understood."""
-    return number(F.regexp_replace(text, "[,$]", "")).try_cast("bigint")
+    return once(F.translate(text, ",$", ""), number).try_cast("bigint")
 
 
 def any_price(text: Column) -> Column:
@@ -47,10 +49,10 @@ def max_price_text(text: Column) -> Column:
 
 def first_above(text: Column, patterns: tuple[str, ...], least: float) -> Column:
     """The first pattern's first amount that is above ``least``; else the next pattern's."""
-    low = F.lower(text)
     word = lambda p: p.split("[", 1)[0]  # noqa: E731  what a pattern begins with: a plain search for it comes first
-    values = [F.when(low.contains(word(p)), number(F.replace(F.regexp_extract(low, p, 1), F.lit(","), F.lit("")))) for p in patterns]
-    return F.coalesce(*(F.when(v > least, v) for v in values))
+    value = lambda low, p: once(F.replace(F.regexp_extract(low, p, 1), F.lit(","), F.lit("")), number)
+    above = lambda low, p: once(F.when(low.contains(word(p)), value(low, p)), lambda v: F.when(v > least, v))
+    return once(F.lower(text), lambda low: F.coalesce(*(above(low, p) for p in patterns)))
 
 
 def revenue(text: Column) -> Column:
