@@ -6,17 +6,19 @@ another. A document is read by its offset alone. The dictionary is one more smal
 serialized ids of a bounded sample of documents (DICTIONARY_DOCS of up to SAMPLE_CHARS characters, by a hash of the id).
 Spark's writer commits the files, so a lost executor leaves no half-written shard.
 
-Ids come from the tokenizers library. No token spans ASCII white space under this vocabulary's pre-tokenizer, so each
+Ids come from the tokenizers library. No token spans ASCII white space under the pre-tokenizer stated here, so each
 distinct piece between white space is encoded once per worker, up to a cache of bounded size. Null and empty texts have the end id
 alone; rows without an id come first; repeated ids follow one another, ordered by text hash; an empty table gives no records. Very long texts
-are one record as all others; further columns, of any name, aren't read. Ids are two bytes wide in the files, which holds for vocabularies of
-up to 65,536 ids, and pieces are put together by this vocabulary's own normaliser and pre-tokenizer.
+are one record as all others; further columns, of any name, aren't read. Ids are two bytes wide where all of the vocabulary's fit
+(up to 65,536), else four; the file set states the width and the vocabulary's hash, and is read by the width it states. Pieces are put together only
+under the normaliser and pre-tokenizer stated here (NORMALIZER, PRE_TOKENIZER); with any others each text is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -44,6 +46,15 @@ _loaded: dict = {}
 #: Letters of ASCII and Latin-1, composed, and marks after them: normalisation only lowers the letters, and letters and marks
 #: are a pre-token each. Apostrophes may begin one with the letters after, so they are left out.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: The normaliser and pre-tokenizer under which pieces between white space may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: The vocabulary's letters for the bytes that aren't printable in Latin-1.
 LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
@@ -64,19 +75,24 @@ class Known(dict):
 
 
 class Pieces:
-    """Ids of texts by their pieces between ASCII white space."""
+    """Ids of texts, by their pieces between ASCII white space where the vocabulary's own steps allow it."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        own = json.loads(self.tokenizer.to_str())
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in own["added_tokens"])
+        self.by_piece = plain and own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and own["post_processor"] is None
+        self.width = "<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
         self.packs = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(LONG)]
         self.known = Known(self.learn, {})
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Serialized ids of each text, the end id last."""
+        if not self.by_piece:
+            return [np.array([*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, end], self.width).tobytes() for t in texts]
         if len(self.known) > CACHE:
             self.known.before = {}
             self.known = Known(self.learn, self.known)
@@ -181,22 +197,26 @@ def write(docs: DataFrame, path: str, to: str) -> None:
     parts = max(2, len(at) + 1)
     dealt = rows.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
     name = hashlib.sha256(dictionary).hexdigest()
-    docs.sparkSession.createDataFrame([(name, bytearray(dictionary))], "dictionary string, bytes binary").write.parquet(f"{to}/dictionary")
+    with open(path, "rb") as f:
+        vocabulary = hashlib.file_digest(f, "sha256").hexdigest()
+    stated = [(name, bytearray(dictionary), np.dtype(pieces_of(path).width).itemsize, vocabulary)]
+    docs.sparkSession.createDataFrame(stated, "dictionary string, bytes binary, width int, vocabulary string").write.parquet(f"{to}/dictionary")
     shards(dealt.drop("tie"), name).write.option("compression", "uncompressed").parquet(f"{to}/shards")
 
 
-def dictionaries_of(spark: SparkSession, to: str) -> dict[str, bytes]:
-    """The file set's dictionary by its hash, which is computed anew and must be the one in its name."""
-    found = {r.dictionary: bytes(r.bytes) for r in spark.read.parquet(f"{to}/dictionary").collect()}  # one of bounded size
+def dictionaries_of(spark: SparkSession, to: str) -> tuple[dict[str, bytes], str]:
+    """The file set's dictionary by its hash, which is computed anew and must be the one in its name, and the type of its ids."""
+    stated = spark.read.parquet(f"{to}/dictionary").collect()  # one row of bounded size
+    found = {r.dictionary: bytes(r.bytes) for r in stated}
     for name, raw in found.items():
         if hashlib.sha256(raw).hexdigest() != name:
             raise ValueError(f"the dictionary in {to} isn't the one its documents were compressed with")
-    return found
+    return found, f"<u{stated[0].width}"
 
 
-def read_document(spark: SparkSession, to: str, doc_id: int, width: str = "<u2") -> list[list[int]]:
+def read_document(spark: SparkSession, to: str, doc_id: int) -> list[list[int]]:
     """The ids of one document (a list for each row of that id): only its shard records are read, and only its frame is decompressed."""
-    dictionaries = dictionaries_of(spark, to)
+    dictionaries, width = dictionaries_of(spark, to)
     held = spark.read.parquet(f"{to}/shards").filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
     at = F.filter(F.transform("doc_ids", lambda d, i: F.when(d == doc_id, i)), lambda i: i.isNotNull())
     frame = lambda i: F.expr("payload").substr(F.element_at("offsets", i + 1).cast("int") + 1, (F.element_at("offsets", i + 2) - F.element_at("offsets", i + 1)).cast("int"))
@@ -208,9 +228,9 @@ def read_document(spark: SparkSession, to: str, doc_id: int, width: str = "<u2")
     return out
 
 
-def read(spark: SparkSession, to: str, width: str = "<u2") -> DataFrame:
+def read(spark: SparkSession, to: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian of 32 bits) of every document of a file set."""
-    dictionaries = dictionaries_of(spark, to)
+    dictionaries, width = dictionaries_of(spark, to)
     found = spark.read.parquet(f"{to}/shards")
     totals = found.groupBy("bucket").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n")).orderBy("bucket").collect()  # a row per bucket
     begin, upto = {}, 0

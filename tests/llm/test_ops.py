@@ -318,6 +318,32 @@ def test_token_file(which, request, spark, tmp_path):
         start += len(ids) // 4
 
 
+def wide_vocabulary(tmp_path):
+    """The byte vocabulary with added tokens up to ids that two bytes can't hold; its pre-tokenizer keeps blanks with words."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(triebpe.vocabulary())
+    tok.add_tokens([f"<w{k}>" for k in range(16_000)])
+    tok.save(f"{tmp_path}/wide.json")
+    return f"{tmp_path}/wide.json"
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_token_file_of_other_vocabularies(spark, odd, tmp_path, wide):
+    """Other pre-tokenizers encode whole texts, and wide ids come back by the width that the files state."""
+    from tokenizers import Tokenizer
+
+    path = wide_vocabulary(tmp_path) if wide else triebpe.vocabulary()
+    df = odd.select("doc_id", "text").union(spark.createDataFrame([(900, "so <w15999> it goes, so it goes")], "doc_id long, text string"))
+    to, tok = f"file://{tmp_path}/y", Tokenizer.from_file(path)
+    assert not tokenfile.Pieces(path).by_piece and tokenfile.Pieces(tokenfile.vocabulary()).by_piece
+    tokenfile.write(df, path, to)
+    want = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for d, t in pairs(df)}
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tokenfile.read(spark, to).collect()} == want
+    assert tokenfile.read_document(spark, to, 900) == [want[900]] and (max(want[900]) > 1 << 16) == wide
+    assert [r.width for r in spark.read.parquet(f"{to}/dictionary").collect()] == [4 if wide else 2]
+
+
 def test_empty_tables(spark, empty, tmp_path):
     tests = spark.createDataFrame([], "item_id long, text string")
     assert secrets.scan(empty).collect() == [] and secrets.redact(empty).collect() == []
