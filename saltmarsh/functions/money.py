@@ -10,6 +10,8 @@ PRICE = r"\$[\d,]+(?:\.\d{2})?"
 REVENUE = (r"revenue[:\s]*\$?([\d,]+)", r"gross sales[:\s]*\$?([\d,]+)", r"annual sales[:\s]*\$?([\d,]+)", r"sales[:\s]*\$?([\d,]+)")
 CASH_FLOW = (r"cash flow[:\s]*\$?([\d,]+)", r"net income[:\s]*\$?([\d,]+)", r"ebitda[:\s]*\$?([\d,]+)", r"sde[:\s]*\$?([\d,]+)", r"owner benefit[:\s]*\$?([\d,]+)")
 NO_PRICE = r"CONTACT|CALL|TBD|N/A|NEGOTIABLE|UPON REQUEST"
+#: A number with or without a unit, and perhaps a second one after a dash or the word to. Text is in lower case without dollar signs and commas.
+RANGE = r"(\d+(?:\.\d+)?)\s*([km]?)(?:\s*(?:-|–|to)\s*(\d+(?:\.\d+)?)\s*([km]?))?"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -47,6 +49,24 @@ def max_price_text(text: Column) -> Column:
     return F.array_max(F.filter(found, lambda s: s.v.isNotNull())).m
 
 
+def price_range(text: Column) -> Column:
+    """Struct of the lower and upper bound of a price text such as ``$100,000 - $250K`` or ``90 to 120k``. A text with one price has it
+    as both. A first number without a K or M takes the second one's, unless it is the larger number of the two. Null without a number."""
+    unit = lambda c: F.when(c == "m", 1e6).when(c == "k", 1e3).otherwise(1.0)
+
+    def bounds(m: Column) -> Column:
+        lifted = (m.low_unit == "") & (m.low <= m.high)
+        first = m.low * F.when(lifted, unit(m.high_unit)).otherwise(unit(m.low_unit))
+        last = F.coalesce(m.high * unit(m.high_unit), first)
+        return F.when(first.isNotNull(), F.struct(F.least(first, last).alias("low"), F.greatest(first, last).alias("high")))
+
+    def parts(low: Column) -> Column:
+        part = lambda k: F.regexp_extract(low, RANGE, k)
+        return F.struct(number(part(1)).alias("low"), part(2).alias("low_unit"), number(part(3)).alias("high"), part(4).alias("high_unit"))
+
+    return once(F.lower(F.translate(text, ",$", "")), lambda low: once(parts(low), bounds))
+
+
 def first_above(text: Column, patterns: tuple[str, ...], least: float) -> Column:
     """The first pattern's first amount that is above ``least``; else the next pattern's."""
     word = lambda p: p.split("[", 1)[0]  # noqa: E731  what a pattern begins with: a plain search for it comes first

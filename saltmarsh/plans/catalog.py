@@ -165,6 +165,33 @@ def text_filters(spark, sf_dir):
     return _titled(spark, sf_dir).select("doc_id", C.is_real_estate(t).alias("real_estate"), C.any_of(F.lower(t), C.HINTS).alias("hinted"), C.in_vertical(t, "cleaning").alias("cleaning"), C.in_vertical(t, "hvac").alias("hvac"))
 
 
+_VERTICALS = ", ".join(f"not {_any(C.EXCLUDED[v])} and {_any(C.SCORED[v])} as {v}" for v in C.SCORED)
+
+
+@_query("vertical_membership", f"{_DOCS} select doc_id, {_VERTICALS} from t")
+def vertical_membership(spark, sf_dir):
+    """Whether each text is kept by each of the verticals: no word that excludes it, and one of its own at least."""
+    return _titled(spark, sf_dir).select("doc_id", *(C.in_vertical(F.col("text"), v).alias(v) for v in C.SCORED))
+
+
+_RANGED = "case l_orderkey % 6 when 0 then concat('$', l_partkey, ',000 - $', l_suppkey, 'K') when 1 then concat(l_linenumber, ' to ', l_partkey, 'k') when 2 then concat('$', l_linenumber, '.5M') when 3 then 'Call us' when 4 then concat('$', l_partkey, '-$', l_suppkey, 'm or less') end"
+
+
+@_query(
+    "price_ranges",
+    rf"""with t as (select l_orderkey, l_linenumber, replace(replace(lower({_RANGED}), '$', ''), ',', '') as x from lineitem),
+  m as (select l_orderkey, l_linenumber, regexp_extract(x, '([0-9.]+)\s*([km]?)', 1) as a, regexp_extract(x, '([0-9.]+)\s*([km]?)', 2) as u,
+    regexp_extract(x, '[0-9.]+\s*[km]?\s*(?:-|to)\s*([0-9.]+)\s*([km]?)', 1) as b, regexp_extract(x, '[0-9.]+\s*[km]?\s*(?:-|to)\s*([0-9.]+)\s*([km]?)', 2) as v from t),
+  n as (select l_orderkey, l_linenumber, try_cast(a as double) as a, try_cast(b as double) as b, case u when 'k' then 1e3 when 'm' then 1e6 else 1 end as u, case v when 'k' then 1e3 when 'm' then 1e6 else 1 end as v from m),
+  r as (select l_orderkey, l_linenumber, a * case when u = 1 and a <= b then v else u end as p, b * v as q from n)
+select l_orderkey, l_linenumber, cast(least(p, coalesce(q, p)) as double) as low, cast(greatest(p, coalesce(q, p)) as double) as high from r""",
+)
+def price_ranges(spark, sf_dir):
+    """Both bounds of asking prices that are given as ranges."""
+    found = M.price_range(F.expr(_RANGED))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", found.alias("found")).select("l_orderkey", "l_linenumber", "found.low", "found.high")
+
+
 _STATUS = "case cast(event_id % 8 as int) when 0 then 403 when 1 then 404 when 2 then 502 else null end"
 _ERROR = "case cast(event_id % 8 as int) when 3 then 'Read timed out' when 4 then 'SSL handshake' when 5 then 'No business listings' when 6 then 'odd' end"
 _FAILED = f"with f as (select event_id, user_id, {_STATUS} as status, {_ERROR} as error, props as html from events where event_type = 'error'), c as (select *, case when status = 403 then 'HTTP_403' when status = 404 then 'HTTP_404' when status >= 500 then 'HTTP_500' when regexp_matches(lower(coalesce(error, '')), 'timeout|timed out') then 'TIMEOUT' when regexp_matches(lower(coalesce(error, '')), 'ssl|certificate') then 'SSL_ERROR' when contains(lower(html), 'captcha') then 'CAPTCHA' when regexp_matches(lower(coalesce(error, '')), 'no pattern|no business listings') then 'NO_PATTERN' when length(html) < 10000 then 'JAVASCRIPT_HEAVY' else 'UNKNOWN' end as failure_type from f)"

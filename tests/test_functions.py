@@ -67,3 +67,11 @@ def test_cards(spark):
     df = spark.createDataFrame([(1, page), (2, few), (3, None), (4, "<ul><li><a href='/x'>x</a></li></ul>")], "page_id long, html string")
     rows = html.cards(df).orderBy("seq").collect()
     assert [(r.page_id, r.link, r.title) for r in rows] == [(1, f"/l/{k}", f"Listing number {k} here") for k in range(3)]
+
+
+def test_price_ranges(spark):
+    """The lower bound of a range, units shared or not; single prices have equal bounds, texts without a number none."""
+    texts = ["$100,000 - $250,000", "90 to 120k", "$1.5M", "100,000-250K", "2m - 1m", "Asking $75K – 90K cash", "call", "", None, "5 - 5", "$ 300 , to"]
+    want = [(1e5, 2.5e5), (9e4, 1.2e5), (1.5e6, 1.5e6), (1e5, 2.5e5), (1e6, 2e6), (7.5e4, 9e4), None, None, None, (5.0, 5.0), (300.0, 300.0)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", money.price_range(F.col("text")).alias("r")).orderBy("k").collect()
+    assert [r.r and (r.r.low, r.r.high) for r in rows] == want
