@@ -59,6 +59,14 @@ PRE_TOKENIZER = {
 LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
+def steps(tokenizer: Tokenizer) -> tuple[bool, str]:
+    """Whether pieces between white space may be encoded one by one, and the type of ids that holds all of the vocabulary's."""
+    own = json.loads(tokenizer.to_str())
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in own["added_tokens"])
+    by_piece = plain and own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and own["post_processor"] is None
+    return by_piece, "<u2" if max(tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
+
+
 class Known(dict):
     """Serialized ids by piece. A piece that isn't there is looked for among those from before, or learnt."""
 
@@ -77,15 +85,12 @@ class Known(dict):
 class Pieces:
     """Ids of texts, by their pieces between ASCII white space where the vocabulary's own steps allow it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, stated: tuple[bool, str] | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
-        own = json.loads(self.tokenizer.to_str())
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in own["added_tokens"])
-        self.by_piece = plain and own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and own["post_processor"] is None
-        self.width = "<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
+        self.by_piece, self.width = stated or steps(self.tokenizer)
         self.packs = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(LONG)]
         self.known = Known(self.learn, {})
 
@@ -117,9 +122,9 @@ class Pieces:
         return self.packs[len(ids)](*ids) if len(ids) < LONG else np.array(ids, self.width).tobytes()
 
 
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, stated: tuple[bool, str] | None = None) -> Pieces:
     if path not in _loaded:
-        _loaded[path] = Pieces(path)
+        _loaded[path] = Pieces(path, stated)
     return _loaded[path]
 
 
@@ -137,10 +142,12 @@ def train_dictionary(docs: DataFrame, path: str, docs_most: int = DICTIONARY_DOC
 
 
 def frames(docs: DataFrame, path: str, dictionary: bytes, at: list[int]) -> DataFrame:
-    """bucket, doc_id, tie, n, frame for every row."""
+    """bucket, doc_id, tie, n, frame for every row. The driver looks at the vocabulary's steps once, for all tasks."""
+    driver = pieces_of(path)
+    stated = driver.by_piece, driver.width
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces_of(path)
+        own = pieces_of(path, stated)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if shared:
             shared.precompute_compress(level=LEVEL)
