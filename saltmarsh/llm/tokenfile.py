@@ -46,6 +46,8 @@ _loaded: dict = {}
 #: Letters of ASCII and Latin-1, composed, and marks after them: normalisation only lowers the letters, and letters and marks
 #: are a pre-token each. Apostrophes may begin one with the letters after, so they are left out.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: The marks that may stand after letters there.
+MARKS = bytes(b for b in range(33, 127) if b != 39 and not chr(b).isalnum())
 #: The normaliser and pre-tokenizer under which pieces between white space may be encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -110,6 +112,12 @@ class Pieces:
 
     def learn(self, piece: bytes) -> bytes:
         """Ids of a new piece; one of letters with marks after them is put together from its lowered letters and its marks."""
+        if (word := piece.rstrip(MARKS)).isalpha():  # ASCII alone; the same as below without the pattern
+            if len(word) < len(piece):
+                return self.known[word.lower()] + self.known[piece[len(word) :]]
+            if (lower := piece.lower()) != piece:
+                return self.known[lower]
+            return self.packed(piece.decode())
         if (m := SIMPLE.fullmatch(piece)) is None:
             return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.width).tobytes()
         stem, tail = m.groups()
@@ -118,7 +126,11 @@ class Pieces:
             return self.known[letters.encode()] + self.known[tail]
         if (low := letters.encode()) != piece:
             return self.known[low]
-        ids = [t.id for t in self.tokenize(letters if piece.isascii() else piece.decode("latin-1").translate(LETTERS))]
+        return self.packed(piece.decode("latin-1").translate(LETTERS))
+
+    def packed(self, letters: str) -> bytes:
+        """Ids of a pre-token, given in the vocabulary's letters for its bytes."""
+        ids = [t.id for t in self.tokenize(letters)]
         return self.packs[len(ids)](*ids) if len(ids) < LONG else np.array(ids, self.width).tobytes()
 
 
@@ -235,26 +247,32 @@ def read_document(spark: SparkSession, to: str, doc_id: int) -> list[list[int]]:
     return out
 
 
-def read(spark: SparkSession, to: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, little-endian of 32 bits) of every document of a file set."""
+def read(spark: SparkSession, to: str, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, little-endian of 32 bits) and their checksum of every document of a file set.
+
+    Without ``ids`` they are read and checked as well, but stay in the tasks' workers: they are several times the size of the file set.
+    """
     dictionaries, width = dictionaries_of(spark, to)
-    found = spark.read.parquet(f"{to}/shards")
-    totals = found.groupBy("bucket").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n")).orderBy("bucket").collect()  # a row per bucket
+    written = spark.read.parquet(f"{to}/shards")
+    totals = written.groupBy("bucket").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n")).orderBy("bucket").collect()  # a row per bucket
     begin, upto = {}, 0
     for r in totals:
         begin[r.bucket], upto = upto, upto + r.n
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, first, name, ids, counts, offsets, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "dictionary", "doc_ids", "counts", "offsets", "payload")), strict=True):
+            for bucket, first, name, doc_ids, counts, offsets, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "dictionary", "doc_ids", "counts", "offsets", "payload")), strict=True):
                 shared = zstandard.ZstdCompressionDict(dictionaries[name]) if dictionaries[name] else None
                 unzip = zstandard.ZstdDecompressor(dict_data=shared) if shared else zstandard.ZstdDecompressor()
                 view, starts = memoryview(payload), begin[bucket] + first + np.r_[0, np.cumsum(counts)[:-1]]
-                for k in range(0, len(ids), 200):
+                for k in range(0, len(doc_ids), 200):
                     raw = [np.frombuffer(unzip.decompress(view[a:b]), width).astype("<u4").tobytes() for a, b in zip(offsets[k : k + 200], offsets[k + 1 : k + 201], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 200], pa.int64()), pa.array(starts[k : k + 200], pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                    found = [pa.array(doc_ids[k : k + 200], pa.int64()), pa.array(starts[k : k + 200], pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(found + [pa.array(raw, pa.binary())] * ids, names)
 
-    return found.mapInArrow(_vec.tidied(each), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return written.mapInArrow(_vec.tidied(each), schema)
 
 
 def vocabulary() -> str:
@@ -266,4 +284,4 @@ def vocabulary() -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/saltmarsh-ids-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), vocabulary(), to)
-    return read(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, to, ids=False)

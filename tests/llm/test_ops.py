@@ -1,6 +1,7 @@
 """Every query against a brute-force version, on the smallest tables and on a fixture of odd cases."""
 
 import random
+import re
 import zlib
 
 import brute
@@ -365,3 +366,17 @@ def test_rows_without_ids(spark, tmp_path):
     for out in (secrets.scan(df), contamination.judge(df, tests), langid.identify(df.withColumn("lang", F.lit("en"))), minhash.near_duplicates(df), imatch.compare(df), suffixtree.score(df), triebpe.digest(df, triebpe.vocabulary()), substrings.deduplicated(df, 20, 8), tokenfile.read(spark, f"file://{tmp_path}/ids")):
         ids = sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect())
         assert ids == [-1, -1, 1, 1, 1, 2]
+
+
+def test_ids_stay_in_the_workers_of_the_digest(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame([(1, "One, two."), (2, None), (3, "Ñandú's eggs!")], "doc_id long, text string").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    found = tokenfile.query(spark, f"{tmp_path}/sf")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ids_crc32#" in plan and not re.search(r"\bids#", plan)
+    tok, at = Tokenizer.from_file(tokenfile.vocabulary()), 0
+    for r, text in zip(sorted(found.collect()), ("One, two.", "", "Ñandú's eggs!"), strict=True):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
