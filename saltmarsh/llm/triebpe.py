@@ -16,6 +16,7 @@ library's do; an empty table gives no rows. Only ``doc_id`` and ``text`` are rea
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -40,7 +41,8 @@ AT_ONCE = 200
 #: Letters alone, with or without a space before: one word to the pattern.
 #: A mark after them is the next word.
 _WORD = re.compile("([ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.;:!?])?")
-_ODD = re.compile(r"  | \n|\n |\n\n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: White space that isn't a single space or line end between others.
+_ODD = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def byte_letters() -> dict[str, int]:
@@ -169,11 +171,12 @@ class TrieBpe:
     def encode_words(self, words: list[str]) -> None:
         """Ids of distinct words into ``pieces``, in one depth-first walk of their trie."""
         may_follow, pieces, step, sizes, said = self.may_follow, self.pieces, self.step, self.sizes, self.said
-        todo = sorted((w.encode(), w) for w in words)
-        room = max((len(raw) for raw, _ in todo), default=0) + 1
+        words = sorted(words)  # by code points, which is the order of their bytes
+        todo = [w.encode() for w in words]
+        room = max(map(len, todo), default=0) + 1
         last, states = [-1] * room, [self.root] * room  # of each prefix of the word at hand, its last token and the state
         held = b""
-        for raw, word in todo:
+        for raw, word in zip(todo, words, strict=True):
             shared, top = 0, min(len(raw), len(held))
             while shared < top and raw[shared] == held[shared]:
                 shared += 1
@@ -195,17 +198,24 @@ class TrieBpe:
                 states[end] = state
             held, ids = raw, []
             while end:
-                ids.append(said[last[end]])
-                end -= sizes[last[end]]
-            ids.reverse()
-            pieces[word] = ",".join(ids)
+                token = last[end]
+                ids.append(said[token])
+                end -= sizes[token]
+            pieces[word] = ",".join(ids[::-1])
 
     def add_pieces(self, missing: set[str]) -> None:
         """Ids of pieces; one that is a single word to the pattern is its own word, as every word is by itself."""
         missing.discard("")
         cut, word = {}, _WORD.fullmatch
         for piece in missing:
-            if (m := word(piece)) is None:
+            if piece.isascii():  # the same as by the pattern of words
+                stem = piece.rstrip(",.;:!?")
+                marks = len(piece) - len(stem)
+                if marks > 1 or not (stem[1:] if stem[:1] == " " else stem).isalpha():
+                    cut[piece] = self.pattern.findall(piece)
+                elif marks:
+                    cut[piece] = stem, piece[-1]
+            elif (m := word(piece)) is None:
                 cut[piece] = self.pattern.findall(piece)
             elif m[2]:
                 cut[piece] = m.groups()
@@ -215,7 +225,7 @@ class TrieBpe:
             self.pieces[piece] = ",".join([self.pieces[w] for w in own])
 
     def plain(self, text: str) -> bool:
-        return not _ODD.search(text) and text[:1] not in ("\n", " ") and text[-1:] not in ("\n", " ") and not any(s in text for s in self.special)
+        return not any(map(text.__contains__, _ODD)) and text[:1] not in ("\n", " ") and text[-1:] not in ("\n", " ") and not any(s in text for s in self.special)
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by commas."""
@@ -226,9 +236,14 @@ class TrieBpe:
         pieces, before = self.pieces, self.before
         cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t and self.plain(t) and "\0" not in t else None for t in texts]
         missing = set().union(*filter(None, cut)).difference(pieces)
-        pieces.update([(p, before[p]) for p in missing if p in before])
-        self.add_pieces(missing.difference(before))
+        again = before.keys() & missing
+        pieces.update(zip(again, map(before.__getitem__, again), strict=True))
         get = pieces.__getitem__
+        gc.disable()  # many small tuples and lists that are kept, no cycles but among states
+        try:
+            self.add_pieces(missing.difference(again))
+        finally:
+            gc.enable()
         return [",".join(map(get, own)) if own else self.encode_odd(text) for text, own in zip(texts, cut, strict=True)]
 
     def encode_odd(self, text: str) -> str:
