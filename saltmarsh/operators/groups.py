@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from saltmarsh.operators import cells
 from saltmarsh.operators.similar import linked_listings
 from saltmarsh.sources.shared import written
 
@@ -32,10 +33,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def duplicate_groups(listings: DataFrame, least: float = 0.85) -> DataFrame:
     """id, rep, group, size: listings (id, title, state, price, cash_flow) that are equal to others or linked with them by a score
-    above ``least``, at once or through others. ``rep`` is the smallest id of the equal ones, which alone is compared; ``group`` the smallest id of all. Rows alone are left out."""
+    above ``least``, at once or through others. ``rep`` is the smallest id of the equal ones, which alone is compared; ``group`` the smallest id of all. Rows alone are left out.
+
+    Where a score above ``least`` needs both amounts near, cells of listings are linked instead of listings."""
     classed = listings.withColumn("rep", F.min("id").over(W.partitionBy("title", "state", "price", "cash_flow")))
+    if cells.fit(least):
+        own = written(cells.cells(listings), "cells")
+        linked = components(cells.links(listings, own, least)).select(F.col("id").alias("cell"), "group")
+        known = own.join(linked, "cell", "left").select(*cells.KEY, F.coalesce("group", "cell").alias("group"))
+        return _sized(cells.banded(classed).join(known, list(cells.KEY), "left").select("id", "rep", F.coalesce("group", "rep").alias("group")))
     pairs = linked_listings(classed.filter("id = rep").select(*listings.columns), least).select("a", "b")
     linked = components(pairs).select(F.col("id").alias("rep"), "group")
-    found = classed.select("id", "rep").join(linked, "rep", "left").select("id", "rep", F.coalesce("group", "rep").alias("group"))
+    return _sized(classed.select("id", "rep").join(linked, "rep", "left").select("id", "rep", F.coalesce("group", "rep").alias("group")))
+
+
+def _sized(found: DataFrame) -> DataFrame:
+    """id, rep, group, size of the groups with more than one row."""
     sizes = found.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")
     return found.join(sizes, "group").select("id", "rep", "group", "size")
