@@ -1,12 +1,14 @@
 """Queries on rows that the given tables don't hold, each written to a folder of its own and compared with the query's SQL."""
 
 import random
+import time
 
 import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from saltmarsh.operators import cells, groups, rules, similar
+from saltmarsh.functions import classify
+from saltmarsh.operators import cells, groups, keywords, rules, similar
 from saltmarsh.plans import catalog
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -90,3 +92,15 @@ def test_cells_stand_for_any_number_of_rows(spark):
         return own.count(), cells.links(table, own, 0.85).count()
 
     assert made(20_000) == made(200_000)
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_keywords_of_a_long_text(spark, monkeypatch, few):
+    """Time goes with a text's length, by searches as by grams: walks to each character from the begin took minutes here."""
+    monkeypatch.setattr(keywords, "FEW", few)
+    texts = spark.createDataFrame([(1, "é𝄞x " * 150_000 + "Lawn Care"), (2, "\n" * 9 + "HVAC"), (3, None), (4, "")], "id long, text string")
+    began = time.monotonic()
+    found = keywords.hits(texts, keywords.vocabulary(spark, classify.SCORED | {"odd": ["𝄞x é", "\n\n", "x"]}), "id", "text").collect()
+    assert time.monotonic() - began < 60
+    low = {1: "é𝄞x lawn care", 2: "\n\nhvac"}
+    assert {(1, "lawn care"), (1, "x"), (2, "hvac"), (2, "\n\n")} <= {(r.id, r.keyword) for r in found} and all(r.keyword in low[r.id] or r.keyword == "𝄞x é" for r in found)
