@@ -1,6 +1,7 @@
 """Queries on rows that the given tables don't hold, each written to a folder of its own and compared with the query's SQL."""
 
 import random
+import re
 import time
 
 import oracle
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import classify
-from saltmarsh.operators import cells, groups, keywords, rules, similar
+from saltmarsh.operators import cells, editdist, groups, keywords, rules, similar
 from saltmarsh.plans import catalog
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -104,3 +105,12 @@ def test_keywords_of_a_long_text(spark, monkeypatch, few):
     assert time.monotonic() - began < 60
     low = {1: "é𝄞x lawn care", 2: "\n\nhvac"}
     assert {(1, "lawn care"), (1, "x"), (2, "hvac"), (2, "\n\n")} <= {(r.id, r.keyword) for r in found} and all(r.keyword in low[r.id] or r.keyword == "𝄞x é" for r in found)
+
+
+def test_near_texts_meet_by_place(spark):
+    """Texts meet by piece and place, and are compared before pairs are shuffled."""
+    rows = spark.createDataFrame([("s", "abcdefghijklmno"), ("s", "abcdefghijklmnp"), ("s", "xxxxxxxxxxxxxxx")], "block string, text string")
+    found = editdist.near_texts(rows, 0.8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*here#\d+ = here#\d+", plan) and plan.index("Aggregate") < plan.index("levenshtein")
+    assert [tuple(r) for r in found.collect()] == [("s", "abcdefghijklmno", "abcdefghijklmnp", 1)]
