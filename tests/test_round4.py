@@ -114,3 +114,14 @@ def test_near_texts_meet_by_place(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, .*here#\d+ = here#\d+", plan) and plan.index("Aggregate") < plan.index("levenshtein")
     assert [tuple(r) for r in found.collect()] == [("s", "abcdefghijklmno", "abcdefghijklmnp", 1)]
+
+
+def test_links_stay_out_of_the_driver(spark):
+    """No side of a join of links is broadcast, and titles are compared after all else."""
+    table = spark.createDataFrame([(1, "red bolt", "A", 100.0, 10.0), (2, "red bolt", "A", 110.0, 11.0)], "id long, title string, state string, price double, cash_flow double")
+    found = similar.linked_listings(table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") >= 3
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 1.0)]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 3 and all(line.index("levenshtein") > line.index(" < ") for line in joins)
